@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "pii")
+MODULES = ("quality", "pii", "packing")
 
 
 def _merged(what: str) -> dict:
