@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "pii", "packing", "langid", "licenses")
+MODULES = ("quality", "pii", "packing", "langid", "licenses", "substrings")
 
 
 def _merged(what: str) -> dict:
