@@ -91,3 +91,31 @@ def each(f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]) -> Callable:
                 yield from f(b)
 
     return run
+
+
+def whole_groups(key: str, f: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function for mapInArrow over rows sorted by a long column: f gets tables that never cut a group, and where groups begin (and end)."""
+
+    def cut(t: pa.Table, last: bool) -> tuple[int, np.ndarray]:
+        k = t[key].to_numpy()
+        begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        return (len(k), np.append(begin, len(k))) if last else (int(begin[-1]), begin)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and held[-1][key][-1].as_py() == b[key][-1].as_py():
+                held.append(b)  # the open group goes on
+                continue
+            t = pa.Table.from_batches([*held, b])
+            upto, begin = cut(t, last=False)
+            if upto:
+                yield from f(t.slice(0, upto), begin)
+            held = t.slice(upto).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from f(t, cut(t, last=True)[1])
+
+    return run
