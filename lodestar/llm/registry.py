@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality", "pii", "packing", "langid", "licenses", "substrings", "suffixes", "nearduplicates", "decontamination")
+MODULES = ("quality", "pii", "packing", "langid", "licenses", "substrings", "suffixes", "nearduplicates", "decontamination", "urlfilter")
 
 
 def _merged(what: str) -> dict:
