@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 MODULES = ("quality", "pii", "packing", "langid", "licenses", "substrings", "suffixes", "nearduplicates", "decontamination", "urlfilter")
 
 
@@ -18,8 +20,8 @@ def _merged(what: str) -> dict:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _merged("queries")
+    return _merged("queries") | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return _merged("oracle_sql")
+    return _merged("oracle_sql") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
