@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,6 +52,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_remove, spark, path)
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.3)  # Spark lets go of the last query meanwhile
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

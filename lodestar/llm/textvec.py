@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD1342543DE82EF95)
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,15 +97,14 @@ def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
     """Cut a string or binary column (null: empty) at document borders."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    if not pa.types.is_large_string(texts.type) and not pa.types.is_large_binary(texts.type):
-        texts = texts.cast(pa.large_binary() if pa.types.is_binary(texts.type) else pa.large_string())
     if texts.null_count:
-        texts = texts.fill_null(b"" if pa.types.is_large_binary(texts.type) else "")
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
     n = len(texts)
     if not n:
         return
     _, offsets, values = texts.buffers()
-    off = np.frombuffer(offsets, np.int64, n + 1, texts.offset * 8)
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    off = np.frombuffer(offsets, kind, n + 1, texts.offset * np.dtype(kind).itemsize).astype(np.int64)
     data = np.frombuffer(values, np.uint8) if values is not None and values.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
@@ -191,3 +190,9 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds of the maximal runs of true cells."""
     d = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1]))]
