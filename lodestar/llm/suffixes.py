@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.llm import anchored, textvec as tv
-from lodestar.llm.common import batch, each, signed, stage, table
+from lodestar.llm.common import batch, each, stage, table
 
 WINDOW, GRAM = 400, 64
 #: Bytes of segments in a shard, and strings that one task merges.
@@ -72,7 +72,7 @@ def suffix_array(keys: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     return sa, place
 
 
-def common_prefixes(keys: np.ndarray, sa: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
+def common_prefixes(keys: np.ndarray, left: np.ndarray, sa: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, limit: int) -> np.ndarray:
     """Kasai's algorithm: for the positions of all [start, start + size), what each shares with the suffix before it in order, up to limit.
 
     Each range is a lane, cut to ``_LANE`` positions; going one position on loses at most one symbol, in every lane at once.
@@ -107,7 +107,7 @@ def common_prefixes(keys: np.ndarray, sa: np.ndarray, place: np.ndarray, start:
                 l[rest] += (_STEP * 9 - top) // 9
             go = go[same]
             go = go[l[go] < limit]
-        l = np.minimum(l, limit)
+        l = np.minimum(l, np.minimum(left[i], limit))  # ends of segments don't count
         shared[:live] = l
         out[i] = l
     return out
@@ -123,7 +123,7 @@ def repeats(pieces: list[bytes], owned: np.ndarray, window: int) -> tuple[np.nda
     left = np.repeat(start + size, size + 1) - np.arange(len(raw))
     keys = first_keys(symbols)
     sa, place = suffix_array(keys, left)
-    before = common_prefixes(keys, sa, place, start, owned, window)
+    before = common_prefixes(keys, left, sa, place, start, owned, window)
     mine = np.zeros(len(raw), bool)
     mine[tv.ragged(start, owned)] = True
     in_order = (before[sa] >= window) & mine[sa]  # equal to the one before
@@ -138,7 +138,8 @@ def repeats(pieces: list[bytes], owned: np.ndarray, window: int) -> tuple[np.nda
 
 
 _PIECES = "ah long, id long, s long, n long, alone boolean, bytes binary"
-_FOUND = "id long, s long, e long, wh long"
+_FOUND = "id long, s long, e long, range int, run binary"
+_STRING = np.dtype([("wh", "<u8"), ("id", "<i8"), ("s", "<i8")])
 
 
 def _cut(window: int) -> Callable:
@@ -160,42 +161,60 @@ def _cut(window: int) -> Callable:
     return each(run)
 
 
-def _shard(window: int) -> Callable:
-    """Of one shard: spans [s, e) of segments that stand alone; if it is a part of an anchor, also its distinct strings (wh), with a place (s) if only the string's hash elsewhere can decide it."""
+def _result(ids, s, e, ranges=(), runs=()) -> pa.Table:
+    n, m = len(ids), len(ranges)
+    none = pa.nulls(m, pa.int64())
+    columns = [pa.concat_arrays([pa.array(x, pa.int64()), none]) for x in (ids, s, e)]
+    return pa.table([*columns, pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(ranges, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())])], ["id", "s", "e", "range", "run"])
+
+
+def _shard(window: int, ranges: int) -> Callable:
+    """Of one shard: spans [s, e) of segments that stand alone; if it is a part of an anchor, also its distinct strings.
+
+    These are a sorted run for each range of hashes: hash, id and place, the place -1 if the string is a known repeat or
+    no document's alone, so that nothing about it is left to decide.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         ids, s, n = (t[k].to_numpy() for k in ("id", "s", "n"))
-        alone, part = np.asarray(t["alone"].to_pylist(), bool), t["part"][0].as_py()
-        raw, start, hit, group = repeats(t["bytes"].to_pylist(), np.minimum(n, np.maximum([len(x) - window + 1 for x in t["bytes"].to_pylist()], 0)), window)
+        alone, part, pieces = np.asarray(t["alone"].to_pylist(), bool), t["part"][0].as_py(), t["bytes"].to_pylist()
+        raw, start, hit, group = repeats(pieces, np.clip(np.array([len(x) - window + 1 for x in pieces]), 0, n), window)
         segment = np.repeat(np.arange(len(n)), np.diff(np.append(start, len(raw))))
-        begin, end = tv.runs(hit & alone[segment] & (group >= 0))
-        cut = np.flatnonzero(segment[begin] != segment[np.maximum(end - 1, 0)]) if len(begin) else begin
-        assert not len(cut), "a segment's last bytes own no window"
+        begin, end = tv.runs(hit & alone[segment])  # a segment's last bytes own no window, so no run leaves it
         o = segment[begin]
-        spans = [ids[o], s[o] + begin - start[o], s[o] + end - start[o] + window - 1, np.zeros(len(o), np.int64)]
-        if part:
-            pos = np.flatnonzero(group >= 0)
-            _, first, size = np.unique(group[pos], return_index=True, return_counts=True)
-            at = pos[first]
-            wh = tv.Rolling(tv.byte_values(raw)).of(at, at + window)
-            o = segment[at]
-            undecided = (size == 1) & alone[o]
-            more = [np.where(undecided, ids[o], 0), np.where(undecided, s[o] + at - start[o], -1), np.full(len(o), -1), signed(wh)]
-            spans = [np.concatenate(x) for x in zip(spans, more, strict=True)]
-        return pa.table(dict(zip(("id", "s", "e", "wh"), map(pa.array, spans), strict=True)))
+        found = ids[o], s[o] + begin - start[o], s[o] + end - start[o] + window - 1
+        if not part:
+            return _result(*found)
+        pos = np.flatnonzero(group >= 0)
+        _, first, size = np.unique(group[pos], return_index=True, return_counts=True)
+        at = pos[first]
+        o = segment[at]
+        strings = np.zeros(len(at), _STRING)
+        strings["wh"], strings["id"] = tv.Rolling(tv.byte_values(raw)).of(at, at + window), ids[o]
+        strings["s"] = np.where((size == 1) & alone[o], s[o] + at - start[o], -1)
+        of = (strings["wh"] >> np.uint64(8)) % np.uint64(ranges)
+        order = np.lexsort((strings["wh"], of))
+        strings, of = strings[order], of[order]
+        cut = np.searchsorted(of, np.arange(ranges + 1))
+        held = np.flatnonzero(np.diff(cut))
+        return _result(*found, held, [strings[cut[r] : cut[r + 1]].tobytes() for r in held.tolist()])
 
     return run
 
 
 def _merge(window: int) -> Callable:
-    """Strings of several shards, a shard's own all distinct: those with a place that another shard holds, too."""
+    """Sorted runs of several shards, each run's strings distinct: those with a place that another run holds, too, by binary search."""
 
     def run(t: pa.Table) -> pa.Table:
-        wh, s, ids = t["wh"].to_numpy(), t["s"].to_numpy(), t["id"].to_numpy()
-        order = np.sort(wh)
-        again = np.searchsorted(order, wh, "right") - np.searchsorted(order, wh, "left") > 1
-        again &= s >= 0
-        return pa.table({"id": ids[again], "s": s[again], "e": s[again] + window, "wh": np.zeros(int(again.sum()), np.int64)})
+        runs = [np.frombuffer(x, _STRING) for x in t["run"].to_pylist()]
+        everything = np.sort(np.concatenate([r["wh"] for r in runs]))
+        again = [r[(np.searchsorted(everything, r["wh"], "right") - np.searchsorted(everything, r["wh"], "left") > 1) & (r["s"] >= 0)] for r in runs]
+        hits = np.concatenate(again)
+        hits = hits[np.lexsort((hits["s"], hits["id"]))]
+        new = np.concatenate((np.ones(min(1, len(hits)), bool), (hits["id"][1:] != hits["id"][:-1]) | (hits["s"][1:] > hits["s"][:-1] + window)))
+        begin = np.flatnonzero(new)  # overlapping strings go out as one span
+        end = np.append(begin[1:], len(hits)) - 1 if len(begin) else begin
+        return _result(hits["id"][begin], hits["s"][begin], hits["s"][end] + window)
 
     return run
 
@@ -238,11 +257,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
         F.when(F.col("parts").isNull(), F.pmod("ah", F.lit(max(1, -(-total // shard))))).otherwise(F.xxhash64("ah", F.pmod(F.xxhash64("id", "s"), "parts"))).alias("shard"),
         F.col("parts").isNotNull().alias("part"), "id", "s", "n", "alone", "bytes",
     )
-    found = stage(dealt.groupBy("shard", "part").applyInArrow(_shard(window), _FOUND), "suffixes")
-    runs = found.filter("e < 0")
-    ranges = max(1, -(-runs.count() // merge))
-    across = runs.groupBy(F.pmod(F.shiftright("wh", 8), F.lit(ranges)).alias("range")).applyInArrow(_merge(window), _FOUND)
-    gone = anchored.per_document(whole.unionByName(found.filter("e >= 0").select("id", "s", "e")).unionByName(across.select("id", "s", "e")), "s", "e")
+    spread = open_.filter(F.col("bytes") > shard).agg(F.sum("n")).first()[0] or 0
+    found = stage(dealt.groupBy("shard", "part").applyInArrow(_shard(window, -(-spread // merge) or 1), _FOUND), "suffixes")
+    across = found.filter("run is not null").groupBy("range").applyInArrow(_merge(window), _FOUND)
+    spans = found.filter("run is null").unionByName(across).select("id", "s", "e")
+    gone = anchored.per_document(whole.unionByName(spans), "s", "e")
     return texts.join(gone, "id", "left").select("id", "text", "list").mapInArrow(each(_digest), "id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
 
 
