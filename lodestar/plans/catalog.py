@@ -10,6 +10,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def load() -> None:
+    """Import the modules that register queries."""
+    from lodestar.plans import table_queries  # noqa: F401
+
+
 def query(name: str, sql: str | None = None):
     """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL if there is one."""
 
