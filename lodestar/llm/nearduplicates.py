@@ -4,10 +4,10 @@ A document's signature has ``COORDINATES`` minima of its five-word shingles. Eac
 under its coordinate-value pairs. Pairs above the threshold agree in at least ``MATCHES`` coordinates but for a chance of
 about 2e-7. Hence two filters that lose none of them: documents with fewer shared values are left out, and each is
 posted under its prefix alone, the rarest ``COORDINATES - MATCHES + 1`` of its values; longer lists are skipped. Posting
-lists are merged in blocks: agreeing coordinates are counted there, and of the pairs that reach the threshold only a spanning
-forest leaves the task, so a group of copies gives as many rows as it has documents and not the square of that.
+lists are merged in blocks: agreeing coordinates are counted there, and of the pairs that reach the threshold only what they
+connect leaves the task, a row a document, so a group of copies gives as many rows as it has documents and not the square.
 
-What the forests connect is checked on full shingle sets, again in blocks, and confirmed links make the components.
+What is thus connected is checked on full shingle sets, again in blocks, and confirmed links make the components.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from lodestar.llm.components import components
 SHINGLE, THRESHOLD = 5, 85
 COORDINATES, MATCHES = 40, 21
 #: Documents of a posting list, and documents and shingles of a component, in a block.
-LIST_BLOCK, SET_BLOCK, SET_SHINGLES = 256, 400, 200_000
+LIST_BLOCK, SET_BLOCK, SET_SHINGLES = 1024, 400, 200_000
 
 _A = np.random.default_rng(6).integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -63,45 +63,43 @@ def _sign(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 class Forest:
-    """Union-find over small integers; add says whether an edge joins two trees."""
+    """Components of small integers, each named by its least."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.of = np.arange(n)
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
+    def add(self, i: int, others: np.ndarray) -> None:
+        """Connect i with all others."""
+        met = self.of[others]
+        least = min(int(met.min(initial=self.of[i])), int(self.of[i]))
+        for x in {*met[met != least].tolist(), int(self.of[i])} - {least}:
+            self.of[self.of == x] = least
 
-    def add(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every member but the least of each component, and the least of its component."""
+        member = np.flatnonzero(self.of != np.arange(len(self.of)))
+        return member, self.of[member]
 
 
 def _merge_lists(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the pairs with enough agreeing coordinates; the lists are small enough to compare whole."""
+    """What the pairs with enough agreeing coordinates connect, as a star around the least id; the lists are small enough to compare whole."""
     ids, side, crossed = t["id"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False)
     sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    a, b = [], []
     size = np.diff(begin)
     two = begin[:-1][size == 2]  # most lists: one comparison each
     ok = ((sketch[two] == sketch[two + 1]).sum(1) >= MATCHES) & ~(crossed[two] & (side[two] == side[two + 1])) if len(two) else np.zeros(0, bool)
-    a.append(ids[two[ok]])
-    b.append(ids[two[ok] + 1])
+    a, b = [ids[two[ok] + 1]], [ids[two[ok]]]
     for g in np.flatnonzero(size > 2):
         lo, hi = int(begin[g]), int(begin[g + 1])
         forest, own = Forest(hi - lo), sketch[lo:hi]
-        pairs = []
         for i in range(hi - lo - 1):
             j = np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= MATCHES) + i + 1
             if crossed[lo]:
                 j = j[side[lo + j] != side[lo + i]]
-            pairs += [(i, k) for k in j.tolist() if forest.add(i, k)]
-        if pairs:
-            p = np.array(pairs)
-            a.append(ids[lo + p[:, 0]])
-            b.append(ids[lo + p[:, 1]])
+            forest.add(i, j)
+        member, root = forest.stars()
+        a.append(ids[lo + member])
+        b.append(ids[lo + root])
     yield batch(a=np.concatenate(a), b=np.concatenate(b))
 
 
@@ -113,7 +111,7 @@ def _own_sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spanning forests of the exact links within each group."""
+    """What the exact links within each group connect, as a star around the least id."""
     ids, side, crossed, held = t["id"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False), t["shingles"].to_pylist()
     out_a, out_b = [], []
     for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
@@ -126,11 +124,12 @@ def _confirm(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
         if crossed[lo]:
             link &= side[lo:hi, None] != side[None, lo:hi]
         forest = Forest(hi - lo)
-        for i, j in np.argwhere(np.triu(link, 1)).tolist():
-            if forest.add(i, j):
-                out_a.append(ids[lo + i])
-                out_b.append(ids[lo + j])
-    yield batch(a=np.array(out_a, np.int64), b=np.array(out_b, np.int64))
+        for i, row in enumerate(link):
+            forest.add(i, np.flatnonzero(row))
+        member, root = forest.stars()
+        out_a.append(ids[lo + member])
+        out_b.append(ids[lo + root])
+    yield batch(a=np.concatenate([np.zeros(0, np.int64), *out_a]), b=np.concatenate([np.zeros(0, np.int64), *out_b]))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,7 +162,7 @@ def _in_blocks(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), "blocks")
     dealt = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     lo, hi = F.least("side", "other"), F.greatest("side", "other")
-    return dealt.select(F.xxhash64(key, lo, hi).alias("g"), "id", "side", (lo != hi).alias("crossed"), *columns).repartition("g").sortWithinPartitions("g")
+    return dealt.select(F.xxhash64(key, lo, hi).alias("g"), "id", "side", (lo != hi).alias("crossed"), *columns).repartition("g").sortWithinPartitions("g", "id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
