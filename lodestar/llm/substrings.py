@@ -98,4 +98,19 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 queries = {"op7_substrings": op7_substrings}
-oracle_sql: dict[str, str] = {}
+#: Windows are compared as strings.
+oracle_sql = {
+    "op7_substrings": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 19, 0) + 1)) AS i, w FROM w),
+h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM g),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM h) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM late),
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM w),
+k AS (SELECT t.doc_id, count(*) FILTER (WHERE gone.j IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY t.j) FILTER (WHERE gone.j IS NULL) AS kept,
+      count(*) FILTER (WHERE gone.j IS NOT NULL AND before.j IS NULL) AS n_runs
+      FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.j = t.j LEFT JOIN gone before ON before.doc_id = t.doc_id AND before.j = t.j - 1 GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+}

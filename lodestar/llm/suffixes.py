@@ -271,4 +271,19 @@ def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 queries = {"op4_suffixes": op4_suffixes}
-oracle_sql: dict[str, str] = {}
+#: Strings are compared by their MD5, kept bytes joined in hexadecimal.
+oracle_sql = {
+    "op4_suffixes": r"""
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+g AS (SELECT doc_id, b, unnest(range(1, greatest(octet_length(b) - 399, 0) + 1)) AS i FROM b),
+h AS (SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM g),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM d),
+s AS (SELECT doc_id, min(i) AS s, max(i) + 400 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o) GROUP BY doc_id, k),
+p AS (SELECT s.doc_id, s, hex(b[lag(e, 1, 1) OVER (PARTITION BY s.doc_id ORDER BY s):s - 1]) AS piece, lead(s) OVER (PARTITION BY s.doc_id ORDER BY s) IS NULL AS last, hex(b[e:octet_length(b)]) AS rest FROM s JOIN b ON b.doc_id = s.doc_id),
+k AS (SELECT doc_id, string_agg(CASE WHEN last THEN piece || rest ELSE piece END, '' ORDER BY s) AS kept FROM p GROUP BY doc_id),
+n AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM s GROUP BY doc_id)
+SELECT b.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(CASE WHEN k.doc_id IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM b LEFT JOIN n ON n.doc_id = b.doc_id LEFT JOIN k ON k.doc_id = b.doc_id
+"""
+}

@@ -105,7 +105,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = TH
     seen = own.select("page_id", "host", "path", name.alias("rule"), allow.alias("allow"))
     seeds = seen.filter("rule is not null and host <> ''").groupBy("host").agg(F.count_if("allow").cast("double").alias("good"), F.count_if(~F.col("allow")).cast("double").alias("bad"))
     rank = ranks(stage(host_edges(own), "links"), stage(seeds, "seeds"), rounds)
-    hosts = stage(rank.select("host", F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 6).alias("distrust")), "hosts")
+    hosts = stage(rank.select("host", F.round(F.col("distrust") / F.nullif(F.col("trust") + F.col("distrust"), F.lit(0.0)), 6).alias("distrust")), "hosts")
     out = seen.join(hosts, "host", "left")
     verdict = F.when(F.coalesce("allow", F.coalesce("distrust", F.lit(0.0)) <= threshold), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -116,4 +116,37 @@ def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 queries = {"op2_urlfilter": op2_urlfilter}
-oracle_sql: dict[str, str] = {}
+
+
+def _sql(rounds: int = ROUNDS) -> str:
+    """The same walk in SQL, its rounds written out."""
+    rules = sorted(RULES, key=lambda r: -len(r.name))
+    fit = lambda r: f"(host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}')"
+    name = " ".join(f"WHEN {fit(r)} THEN '{r.name}'" for r in rules)
+    allow = " ".join(f"WHEN rule = '{r.name}' THEN {str(r.allow).lower()}" for r in rules)
+    host = f"translate(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), '{_UPPER}', '{_LOWER}')"
+    walk = []
+    for k in range(rounds):
+        walk.append(
+            f"m{k} AS MATERIALIZED (SELECT good, dst AS host, round(sum(rank * share), {DIGITS}) AS got FROM r{k} JOIN steps USING (good, host) GROUP BY good, dst), "
+            f"b{k} AS (SELECT s.good, s.host, seed * (1 - {DAMPING} * coalesce(kept, 0)) AS again FROM start s LEFT JOIN (SELECT good, sum(got) AS kept FROM m{k} GROUP BY good) x ON x.good = s.good), "
+            f"r{k + 1} AS MATERIALIZED (SELECT good, host, round({DAMPING} * coalesce(got, 0) + coalesce(again, 0), {DIGITS}) AS rank FROM b{k} FULL JOIN m{k} USING (good, host))"
+        )
+    return f"""
+WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN {host} ELSE '' END AS host, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+v AS MATERIALIZED (SELECT page_id, html, host, path, CASE {name} END AS rule FROM u), a AS MATERIALIZED (SELECT page_id, host, path, rule, CASE {allow} END AS allow FROM v),
+seeds AS (SELECT host, CAST(count(*) FILTER (WHERE allow) AS DOUBLE) AS good, CAST(count(*) FILTER (WHERE NOT allow) AS DOUBLE) AS bad FROM a WHERE rule IS NOT NULL AND host <> '' GROUP BY host),
+l AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?\\s*([^\"''\\s>]+)', 1))) AS target FROM v),
+edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(target, '^(?:[hH][tT][tT][pP][sS]?:)?//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM l WHERE regexp_matches(target, '^(?i:https?:)?//')) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+both_ AS (SELECT true AS good, src AS host, dst, n FROM edges UNION ALL SELECT false, dst, src, n FROM edges),
+steps AS (SELECT good, host, dst, n / sum(n) OVER (PARTITION BY good, host) AS share FROM both_),
+weights AS (SELECT true AS good, host, good AS w FROM seeds WHERE good > 0 UNION ALL SELECT false, host, bad FROM seeds WHERE bad > 0),
+start AS MATERIALIZED (SELECT good, host, w / sum(w) OVER (PARTITION BY good) AS seed FROM weights), r0 AS (SELECT good, host, seed AS rank FROM start),
+{", ".join(walk)},
+t AS (SELECT host, sum(CASE WHEN good THEN rank ELSE 0 END) AS trust, sum(CASE WHEN good THEN 0 ELSE rank END) AS distrust FROM r{rounds} GROUP BY host),
+f AS (SELECT host, round(distrust / nullif(trust + distrust, 0), 6) AS distrust FROM t)
+SELECT page_id, a.host, path, rule, CASE WHEN coalesce(allow, coalesce(distrust, 0.0) <= {THRESHOLD}) THEN 'allow' ELSE 'block' END AS verdict, coalesce(distrust, 0.0) AS distrust FROM a LEFT JOIN f ON f.host = a.host
+"""
+
+
+oracle_sql = {"op2_urlfilter": _sql()}
