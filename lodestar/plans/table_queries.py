@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lodestar.functions import text as tx
 from lodestar.operators import analytics, filtering, metrics, tokens as tk
 from lodestar.plans.catalog import query, read
+from lodestar.sources import sampling
 
 _LIST = ", ".join(f"'{c}'" for c in tk.CONNECTIVES)
 _CLOSED = ", ".join(f"'{c}'" for c in tk.CLOSED)
@@ -77,9 +78,8 @@ SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM s
 """)
 def _(spark, d):
     """Per source documents in order of id while the budget isn't spent; the last may overshoot."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    s = _docs(spark, d).select("source", "doc_id", "n_chars").withColumn("before", F.coalesce(F.sum("n_chars").over(w), F.lit(0)))
-    return s.filter("before < 20000").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
+    s = sampling.within_budget(_docs(spark, d).select("source", "doc_id", "n_chars"), "n_chars", 20000, ["doc_id"], "source")
+    return s.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
 
 
 @query("s_prefix_dedup", """
@@ -88,10 +88,9 @@ SELECT p AS path FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.p <> a.p A
 """)
 def _(spark, d):
     """Paths that are no prefix of another one. In sorted order a prefix stands right before a path it begins."""
-    p = read(spark, d, "pages").filter("url is not null").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path")).distinct()
+    p = read(spark, d, "pages").filter("url is not null").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
     # a path and what it is a prefix of have the same host, so hosts are sorted apart from each other
-    w = Window.partitionBy(F.substring_index("path", "/", 1)).orderBy(F.encode("path", "UTF-8"))
-    return p.withColumn("next", F.lead("path").over(w)).filter(~F.coalesce(F.col("next").startswith(F.col("path")), F.lit(False))).select("path")
+    return sampling.without_prefixes(p, "path", F.substring_index("path", "/", 1))
 
 
 @query("s_html_fields", """
