@@ -52,7 +52,7 @@ def measure(c: tv.Chunk) -> dict[str, np.ndarray]:
     chars = _sums(in_word & ((c.data & 0xC0) != 0x80), c.off)
     symbols = _sums(_SYMBOL[c.data], c.off)
 
-    starts = np.union1d(c.off[:-1][np.diff(c.off) > 0], np.flatnonzero(c.data == 10) + 1)
+    starts = tv.distinct(np.concatenate((c.off[:-1][np.diff(c.off) > 0], np.flatnonzero(c.data == 10) + 1)))
     starts = starts[starts < len(c.data)]
     ends = np.append(starts[1:], len(c.data))
     ends = ends - ((ends > starts) & (c.data[np.maximum(ends - 1, 0)] == 10)) if len(ends) else ends
@@ -122,4 +122,24 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 queries = {"op3_quality": op3_quality}
-oracle_sql: dict[str, str] = {}
+oracle_sql = {
+    "op3_quality": r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, text, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, greatest(len(w) - 7, 0) + 1)) AS i, w FROM d), h AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS h FROM g),
+r AS (SELECT doc_id, i FROM h JOIN (SELECT doc_id, h FROM h GROUP BY 1, 2 HAVING count(*) > 1) USING (doc_id, h)),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, host, text, unnest(string_split(x, chr(10))) AS line FROM d),
+v AS (SELECT doc_id, host, text, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM v GROUP BY doc_id),
+n AS (SELECT doc_id, host, text, array_to_string(lw, ' ') AS norm, len(lw) AS words FROM v),
+hosts AS (SELECT host, count(DISTINCT coalesce('t' || text, 'null')) AS texts FROM d GROUP BY host),
+common AS (SELECT host, norm FROM n JOIN hosts USING (host) GROUP BY host, norm, texts HAVING count(DISTINCT text) >= 50 AND count(DISTINCT text) >= 0.05 * texts),
+lost AS (SELECT doc_id, sum(words) AS n FROM n JOIN common USING (host, norm) GROUP BY doc_id),
+s AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS n_line_words
+      FROM d LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN lost ON lost.doc_id = d.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_words - n_line_words >= 0.2 * n_words AS kept, CAST(n_line_words AS BIGINT) AS n_line_words
+FROM s
+"""
+}
