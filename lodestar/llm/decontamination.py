@@ -101,7 +101,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     texts = anchored.own_texts(docs)
     looked_up = stage(phrases(items, window), "phrases")
-    places = occurrences(texts.distinct(), looked_up)
+    places = occurrences(texts, looked_up).distinct()  # repeated rows give the same places
     listed = places.join(_small(looked_up.select("phrase", "exact", "size", "items"), looked_up.count()), "phrase")
     listed = listed.groupBy("id").agg(F.collect_list(F.struct("start", "size", "exact", "items")).alias("places"))
     own = texts.join(listed, "id", "left").select("id", "text", words("text").alias("w"), "places")
@@ -113,9 +113,9 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
 def near(docs: DataFrame, items: DataFrame, distance: int, window: int = WINDOW) -> DataFrame:
     """Proximity matches: (doc_id, phrase, exact, items, start, last) where both rarest terms of a phrase occur within ``distance`` words, in either order.
 
-    For phrases with at least two different terms; every such pair of postings is a row.
+    For phrases with at least two different terms; every such pair of postings is a row. Repeated rows of docs count once.
     """
-    texts = anchored.own_texts(docs).distinct()
+    texts = anchored.own_texts(docs)
     looked_up = stage(phrases(items, window), "phrases")
     all_terms = looked_up.select("phrase", F.explode("terms").alias("word")).withColumn("term", F.xxhash64("word"))
     vocabulary = stage(all_terms.select("word", "term").distinct(), "vocabulary")
@@ -129,7 +129,7 @@ def near(docs: DataFrame, items: DataFrame, distance: int, window: int = WINDOW)
     a = cells.withColumnRenamed("term", "t1").join(pairs, "t1").select("id", "pos", "phrase", "t2", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
     b = cells.select("id", "cell", F.col("term").alias("t2"), F.col("pos").alias("pos2"))
     met = a.join(b, ["id", "cell", "t2"]).filter(F.abs(F.col("pos") - F.col("pos2")) <= distance)
-    return met.join(looked_up.select("phrase", "exact", "items"), "phrase").select(anchored.real_id(), "phrase", "exact", "items", F.least("pos", "pos2").alias("start"), F.greatest("pos", "pos2").alias("last"))
+    return met.join(looked_up.select("phrase", "exact", "items"), "phrase").select(anchored.real_id(), "phrase", "exact", "items", F.least("pos", "pos2").alias("start"), F.greatest("pos", "pos2").alias("last")).distinct()
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
