@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm import textvec as tv
-from lodestar.llm.common import batch, each, signed
+from lodestar.llm.common import batch, dealt_anew, each, signed
 
 #: A null doc_id gets a key below all others, from its text.
 NULL_IDS = -(2**62)
@@ -77,7 +77,7 @@ def scan(texts: DataFrame, unit: Callable[[tv.Chunk], tuple[np.ndarray, np.ndarr
 def shared(rows: DataFrame) -> DataFrame:
     """Segments whose anchor occurs again, in another segment or in their own."""
     twice = rows.groupBy("ah").agg(F.sum("m").alias("c")).filter("c > 1").select("ah")
-    return rows.join(twice, "ah")
+    return rows.join(dealt_anew(twice, "ah"), "ah")
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:

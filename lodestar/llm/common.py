@@ -57,6 +57,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_anew(df: DataFrame, *keys: str) -> DataFrame:
+    """df, an aggregate by long keys, for a join on them with many rows a key.
+
+    Spark would keep the aggregate's partitioning and deal the large side to match it, hot keys and all. With keys it can't trace
+    back, it deals both sides for the join alone, and adaptive execution may split a hot key among tasks.
+    """
+    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("long")) for k in keys})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

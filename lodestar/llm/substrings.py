@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.llm import anchored, textvec as tv
-from lodestar.llm.common import batch, each, lists, signed, stage, table
+from lodestar.llm.common import batch, dealt_anew, each, lists, signed, stage, table
 
 WINDOW, SEED = 20, 8
 
@@ -82,12 +82,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     seeds = stage(anchored.shared(anchored.scan(texts, _unit, window, seed)), "seeds")
     firsts = seeds.groupBy("ah", "sh").agg(F.min(F.struct("id", "s", "n")).alias("first"), F.max("m").alias("m"))
     ends = lambda n: (F.col("s") + n + window - 1).alias("e")
-    whole = seeds.join(firsts, ["ah", "sh"]).filter((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s"))).select("id", "s", ends(F.col("n")))
+    whole = seeds.join(dealt_anew(firsts, "ah", "sh"), ["ah", "sh"]).filter((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s"))).select("id", "s", ends(F.col("n")))
     mixed = firsts.groupBy("ah").agg(F.sum("m").alias("c")).filter("c > 1").select("ah")
-    open_ = firsts.join(mixed, "ah").select("first.id", "first.s", "first.n")
+    open_ = firsts.join(dealt_anew(mixed, "ah"), "ah").select("first.id", "first.s", "first.n")
     found = stage(texts.join(anchored.per_document(open_, "s", "n"), "id").select("id", "text", "list").mapInArrow(_extended(window), "id long, s long, wh long"), "windows")
     earliest = found.groupBy("wh").agg(F.min(F.struct("id", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("wh", "first")
-    late = found.join(earliest, "wh").filter((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s"))).select("id", "s", ends(F.lit(1)))
+    late = found.join(dealt_anew(earliest, "wh"), "wh").filter((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s"))).select("id", "s", ends(F.lit(1)))
     gone = anchored.per_document(whole.unionByName(late), "s", "e")
     return texts.join(gone, "id", "left").select("id", "text", "list").mapInArrow(each(_cleaned), "id long, n_words long, n_removed long, spans array<struct<s:long,e:long>>, text binary")
 
