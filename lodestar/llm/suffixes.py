@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.llm import anchored, textvec as tv
-from lodestar.llm.common import batch, each, stage, table
+from lodestar.llm.common import batch, dealt_anew, each, stage, table
 
 WINDOW, GRAM = 400, 64
 #: Bytes of segments in a shard, and strings that one task merges.
@@ -245,15 +245,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     texts = anchored.own_texts(docs)
     seeds = stage(anchored.shared(anchored.scan(texts, _unit, window, gram)), "segments")
     kinds = seeds.groupBy("ah", "sh").agg(F.min(F.struct("id", "s", "n")).alias("first"), F.count("*").alias("c"), F.max("m").alias("m"))
-    whole = seeds.join(kinds.filter("c > 1").select("ah", "sh"), ["ah", "sh"]).select("id", "s", (F.col("s") + F.col("n") + window - 1).alias("e"))
+    whole = seeds.join(dealt_anew(kinds.filter("c > 1").select("ah", "sh"), "ah", "sh"), ["ah", "sh"]).select("id", "s", (F.col("s") + F.col("n") + window - 1).alias("e"))
     anchors = kinds.groupBy("ah").agg(F.sum("m").alias("k"), F.sum(F.col("first.n") + window).alias("bytes")).filter("k > 1")
-    open_ = kinds.join(anchors, "ah").select("ah", "first.id", "first.s", "first.n", (F.col("c") == 1).alias("alone"), "bytes")
+    open_ = kinds.join(dealt_anew(anchors, "ah"), "ah").select("ah", "first.id", "first.s", "first.n", (F.col("c") == 1).alias("alone"), "bytes")
     open_ = stage(open_, "open")
     total = open_.agg(F.sum(F.col("n") + window)).first()[0] or 0
     parts = F.ceil(F.col("bytes") / shard).cast("long")
     pieces = texts.join(anchored.per_document(open_, "s", "n", "ah", "alone"), "id").select("id", "text", "list").mapInArrow(_cut(window), _PIECES)
     hot = open_.filter(F.col("bytes") > shard).select("ah", parts.alias("parts")).distinct()
-    dealt = pieces.join(hot, "ah", "left").select(
+    dealt = pieces.join(dealt_anew(hot, "ah"), "ah", "left").select(
         F.when(F.col("parts").isNull(), F.pmod("ah", F.lit(max(1, -(-total // shard))))).otherwise(F.xxhash64("ah", F.pmod(F.xxhash64("id", "s"), "parts"))).alias("shard"),
         F.col("parts").isNotNull().alias("part"), "id", "s", "n", "alone", "bytes",
     )
