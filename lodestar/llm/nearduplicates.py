@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.llm import anchored, textvec as tv
-from lodestar.llm.common import batch, each, signed, stage, table, whole_groups
+from lodestar.llm.common import batch, dealt_anew, each, signed, stage, table, whole_groups
 from lodestar.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 85
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(signed_.filter("n > 0").groupBy("n", "x", "y").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     postings = classes.select("id", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    held = postings.join(lists, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("held")).filter(F.size("held") >= MATCHES)
+    held = postings.join(dealt_anew(lists, "key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("held")).filter(F.size("held") >= MATCHES)
     prefix = F.slice("held", 1, F.size("held") - (MATCHES - 1))  # values that no other has come before these
     posted = held.select("id", F.explode(prefix).alias("p")).select("id", F.col("p.key").alias("key"), F.ceil(F.col("p.c") / LIST_BLOCK).cast("long").alias("blocks")).join(classes.select("id", "sketch"), "id")
     near = _in_blocks(posted, "key", "sketch").mapInArrow(whole_groups("g", _merge_lists), "a long, b long")
