@@ -11,6 +11,7 @@ Document frequencies are counted over all training rows. The centroids alone are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -118,7 +119,10 @@ def fit(train: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         share = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(share)
     rows = rows.select("text", "lang", (F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).alias("sampled"))
     got = stage(rows.mapInArrow(_gather, "lang string, rows long, v binary"), "grams")
-    total = got.filter("lang is null").coalesce(1).mapInArrow(_add, "rows long, v binary").first()
+    partial = got.filter("lang is null")
+    # one row a partition, added in two steps so that no task reads more than the root of their number
+    partial = partial.repartition(max(1, math.isqrt(partial.count()))).mapInArrow(_add, "rows long, v binary")
+    total = partial.coalesce(1).mapInArrow(_add, "rows long, v binary").first()
     df, n = np.frombuffer(total["v"], np.int64), total["rows"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     by: dict[str, list[bytes]] = {}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestar.llm import textvec as tv
-from lodestar.llm.common import batch, each, keyed, lists, real_id, signed, stage, table
+from lodestar.llm.common import batch, dealt_anew, each, keyed, lists, real_id, signed, stage, table
 
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, SYMBOLS = 20, 8, 30, b"#*$%&|<>"
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_s
     common = held.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).join(hosts, "host").filter(F.col("n") >= min_share * F.col("texts")).select("host", "h")
     lost = (
         stats.select("id", "th", "host", F.explode("lines").alias("line")).select("id", "th", "host", "line.h", "line.n").distinct()
-        .join(common, ["host", "h"]).groupBy("id", "th", "host").agg(F.sum("n").alias("n_line_words"))
+        .join(dealt_anew(common, "h"), ["host", "h"]).groupBy("id", "th", "host").agg(F.sum("n").alias("n_line_words"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")
