@@ -1,8 +1,8 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 A document's signature has ``COORDINATES`` minima of its five-word shingles. Each document, equal shingle sets once, is posted
-under its coordinate-value pairs. Pairs above the threshold agree in at least ``MATCHES`` coordinates but for a chance of
-about 2e-7. Hence two filters that lose none of them: documents with fewer shared values are left out, and each is
+under its coordinate-value pairs. Pairs above the threshold agree in at least ``MATCHES`` coordinates (``STAGE_MATCHES`` for the
+pipeline's threshold) but for a chance of about 2e-7. Hence two filters that lose none of them: documents with fewer shared values are left out, and each is
 posted under its prefix alone, the rarest ``COORDINATES - MATCHES + 1`` of its values; longer lists are skipped. Posting
 lists are merged in blocks: agreeing coordinates are counted there, and of the pairs that reach the threshold only what they
 connect leaves the task, a row a document, so a group of copies gives as many rows as it has documents and not the square.
@@ -13,6 +13,7 @@ What is thus connected is checked on full shingle sets, again in blocks, and con
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from lodestar.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 85
 COORDINATES, MATCHES = 40, 21
+#: The pipeline's stage links from 0.8 on; fewer matches, so that a pair at its threshold is missed as rarely (2.0e-7).
+STAGE_THRESHOLD, STAGE_MATCHES = 80, 18
 #: Documents of a posting list, and documents and shingles of a component, in a block.
 LIST_BLOCK, SET_BLOCK, SET_SHINGLES = 1024, 400, 200_000
 
@@ -81,19 +84,19 @@ class Forest:
         return member, self.of[member]
 
 
-def _merge_lists(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _merge_lists(t: pa.Table, begin: np.ndarray, matches: int) -> Iterator[pa.RecordBatch]:
     """What the pairs with enough agreeing coordinates connect, as a star around the least id; the lists are small enough to compare whole."""
     ids, side, crossed = t["id"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False)
     sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
     size = np.diff(begin)
     two = begin[:-1][size == 2]  # most lists: one comparison each
-    ok = ((sketch[two] == sketch[two + 1]).sum(1) >= MATCHES) & ~(crossed[two] & (side[two] == side[two + 1])) if len(two) else np.zeros(0, bool)
+    ok = ((sketch[two] == sketch[two + 1]).sum(1) >= matches) & ~(crossed[two] & (side[two] == side[two + 1])) if len(two) else np.zeros(0, bool)
     a, b = [ids[two[ok] + 1]], [ids[two[ok]]]
     for g in np.flatnonzero(size > 2):
         lo, hi = int(begin[g]), int(begin[g + 1])
         forest, own = Forest(hi - lo), sketch[lo:hi]
         for i in range(hi - lo - 1):
-            j = np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= MATCHES) + i + 1
+            j = np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= matches) + i + 1
             if crossed[lo]:
                 j = j[side[lo + j] != side[lo + i]]
             forest.add(i, j)
@@ -110,7 +113,7 @@ def _own_sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch(id=part["id"], component=part["component"], blocks=part["blocks"], shingles=pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
 
 
-def _confirm(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _confirm(t: pa.Table, begin: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
     """What the exact links within each group connect, as a star around the least id."""
     ids, side, crossed, held = t["id"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False), t["shingles"].to_pylist()
     out_a, out_b = [], []
@@ -120,7 +123,7 @@ def _confirm(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(s, np.uint64) for s in held[lo:hi]]
         n = np.array([len(s) for s in sets])
         common = intersections(sets)
-        link = 100 * common >= THRESHOLD * (n[:, None] + n[None, :] - common)
+        link = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
         if crossed[lo]:
             link &= side[lo:hi, None] != side[None, lo:hi]
         forest = Forest(hi - lo)
@@ -165,10 +168,11 @@ def _in_blocks(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return dealt.select(F.xxhash64(key, lo, hi).alias("g"), "id", "side", (lo != hi).alias("crossed"), *columns).repartition("g").sortWithinPartitions("g", "id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
     """(id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored).
 
-    Links are exact: 100 * intersection >= 85 * union of the distinct shingles; component_id is the least id that links reach.
+    Links are exact: 100 * intersection >= threshold * union of the distinct shingles; component_id is the least id that links reach.
+    Pairs that agree in fewer than matches coordinates are not compared, so a lower threshold needs fewer matches.
     A text without words has no shingles and no links; one of fewer than five words is one shingle. A null doc_id is
     below all others; rows with one doc_id are one document.
     """
@@ -177,16 +181,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stage(signed_.filter("n > 0").groupBy("n", "x", "y").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
     postings = classes.select("id", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    held = postings.join(dealt_anew(lists, "key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("held")).filter(F.size("held") >= MATCHES)
-    prefix = F.slice("held", 1, F.size("held") - (MATCHES - 1))  # values that no other has come before these
+    held = postings.join(dealt_anew(lists, "key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("held")).filter(F.size("held") >= matches)
+    prefix = F.slice("held", 1, F.size("held") - (matches - 1))  # values that no other has come before these
     posted = held.select("id", F.explode(prefix).alias("p")).select("id", F.col("p.key").alias("key"), F.ceil(F.col("p.c") / LIST_BLOCK).cast("long").alias("blocks")).join(classes.select("id", "sketch"), "id")
-    near = _in_blocks(posted, "key", "sketch").mapInArrow(whole_groups("g", _merge_lists), "a long, b long")
+    near = _in_blocks(posted, "key", "sketch").mapInArrow(whole_groups("g", partial(_merge_lists, matches=matches)), "a long, b long")
     groups = components(near)
     members = groups.unionByName(groups.select(F.col("component").alias("v"), "component").distinct())
     sizes = members.join(classes.select(F.col("id").alias("v"), "n"), "v").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SET_BLOCK, F.sum("n") / SET_SHINGLES)).cast("long").alias("blocks"))
     wanted = members.join(sizes, "component").select(F.col("v").alias("id"), "component", "blocks")
     sets = texts.join(wanted, "id").select("id", "component", "blocks", "text").mapInArrow(each(_own_sets), "id long, component long, blocks long, shingles binary")
-    links = _in_blocks(sets, "component", "shingles").mapInArrow(whole_groups("g", _confirm), "a long, b long")
+    links = _in_blocks(sets, "component", "shingles").mapInArrow(whole_groups("g", partial(_confirm, threshold=threshold)), "a long, b long")
     linked = components(links).select(F.col("v").alias("first"), "component")
     named = signed_.drop("keys", "sketch").join(classes.select("n", "x", "y", F.col("id").alias("first")), ["n", "x", "y"], "left").join(linked, "first", "left")
     return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
@@ -198,8 +202,8 @@ def op6_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id (one row of it), with its columns."""
-    kept = near_duplicates(docs).filter(F.col("id") == F.col("component_id")).select("id").distinct()
+    """Pipeline stage: of each component, linked from 0.8 on, the document with the least doc_id (one row of it), with its columns."""
+    kept = near_duplicates(docs, STAGE_THRESHOLD, STAGE_MATCHES).filter(F.col("id") == F.col("component_id")).select("id").distinct()
     keyed = docs.withColumn("_id", anchored.document_key())
     return keyed.join(kept.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
 

@@ -345,6 +345,14 @@ def test_near_duplicates_equal_brute_force(docs, empty, monkeypatch):
     assert nearduplicates.near_duplicates(empty).count() == 0
 
 
+def test_stage_links_from_80_percent_on(spark):
+    w = [f"w{i}" for i in range(104)]  # 100 shingles; a word changed in the middle costs 5, one at the end 1
+    changed = lambda *at: " ".join("changed" if i in at else x for i, x in enumerate(w))
+    d = spark.createDataFrame([(1, " ".join(w)), (2, changed(20, 60)), (3, changed(40, 80, 103, 0))], "doc_id long, text string")  # 90/110 = 0.82; 88/112 = 0.79
+    assert {r.doc_id for r in nearduplicates.one_of_each(spark, d, "").collect()} == {1, 3}
+    assert {r.component_id for r in nearduplicates.near_duplicates(d).collect()} == {1, 2, 3}
+
+
 def test_intersections_are_exact():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, rng.integers(0, 200)).astype(np.uint64)) for _ in range(30)]
