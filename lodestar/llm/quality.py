@@ -2,7 +2,7 @@
 
 Each line is normalised (A-Z lower-cased, words joined by one space) and hashed. The documents that hold a line are
 counted per host, equal texts once, so that mere copies don't make their own lines look like boilerplate. A line above
-the limit is boilerplate; a document of which too few words remain is depleted and rejected.
+the limit is boilerplate and is removed; a document of which too few words remain is depleted and rejected.
 
 Counts are exact and over all documents. A line that a third of all rows share is one partial count a task.
 """
@@ -88,7 +88,7 @@ def _stats(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row per row of docs: the base counts, n_line_words (words in boilerplate lines), base_failed and kept.
+    """One row per row of docs: the base counts, n_line_words (words in boilerplate lines), boilerplate (their hashes, null: none), base_failed and kept.
 
     Null text has no words and fails; a null host is a host of its own; columns of other names are ignored.
     """
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, min_s
     common = held.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).join(hosts, "host").filter(F.col("n") >= min_share * F.col("texts")).select("host", "h")
     lost = (
         stats.select("id", "th", "host", F.explode("lines").alias("line")).select("id", "th", "host", "line.h", "line.n").distinct()
-        .join(dealt_anew(common, "h"), ["host", "h"]).groupBy("id", "th", "host").agg(F.sum("n").alias("n_line_words"))
+        .join(dealt_anew(common, "h"), ["host", "h"]).groupBy("id", "th", "host").agg(F.sum("n").alias("n_line_words"), F.collect_list("h").alias("boilerplate"))
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = F.col("n_words") - F.col("n_line_words")
@@ -114,11 +114,35 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(real_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_line_words").cast("long").alias("n_line_words"))
 
 
-def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that are not rejected, with their columns."""
-    good = judge(docs).filter("kept").select("id", "th").distinct()
-    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
-    return own.join(good, (own["_id"] == good["id"]) & (own["_th"] == good["th"]), "left_semi").drop("_id", "_th")
+def without_lines(text: pa.Array, gone: pa.Array) -> pa.Array:
+    """Each text without its lines whose normalised hash is in its list gone, their line breaks with them; null where the list is null."""
+    held, out = gone.to_pylist(), []
+    for c in tv.chunks(text):
+        w, raw = tv.words(c), c.data.tobytes()
+        h = tv.Rolling(tv.word_hashes(tv.lower(c.data), w))
+        for i, hashes in enumerate(held[c.row : c.row + c.n]):
+            if hashes is None:
+                out.append(None)
+                continue
+            lines = raw[c.off[i] : c.off[i + 1]].split(b"\n")
+            starts = c.off[i] + np.cumsum([0, *(len(x) + 1 for x in lines)])
+            at = np.searchsorted(w.start, starts)
+            at[-1] = w.first[i + 1]
+            bad = (at[1:] > at[:-1]) & np.isin(signed(h.of(at[:-1], at[1:])), np.array(hashes, np.int64))
+            out.append(b"\n".join(x for x, b in zip(lines, bad.tolist(), strict=True) if not b).decode())
+    return pa.array(out, pa.string())
+
+
+def keep(spark: SparkSession, docs: DataFrame, sf_dir: str, **limits) -> DataFrame:
+    """Pipeline stage: documents that are not rejected, without their boilerplate lines and with n_chars renewed; other columns as they are."""
+    good = judge(docs, **limits).filter("kept").groupBy(F.col("id").alias("_id"), F.col("th").alias("_th"), F.col("host").alias("_host")).agg(F.first("boilerplate").alias("_gone"))
+    own = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text"), "_host": F.coalesce(F.col("source").cast("string"), F.lit(""))})
+    cut = F.arrow_udf(without_lines, "string")(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))
+    kept = own.join(good, ["_id", "_th", "_host"]).withColumn("_cut", cut)
+    new = {"text": F.coalesce("_cut", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumns(new).select(*docs.columns)
 
 
 queries = {"op3_quality": op3_quality}

@@ -230,6 +230,16 @@ def test_quality_equals_brute_force(docs, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_keep_drops_boilerplate_lines(spark):
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"{prose(i)}é\n  Share THIS  page \n\n{prose(i + 50)}", "s") for i in range(3)] + [(7, f"{prose(7)}\nshare this page", "s"), (8, f"{prose(8)}\nshare this page", "other"), (9, prose(9), None)]
+    d = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars int")
+    got = quality.keep(spark, d, "", min_docs=3)
+    assert got.dtypes == d.dtypes
+    want = {i: f"{prose(i)}é\n\n{prose(i + 50)}" for i in range(3)} | {7: prose(7), 8: rows[4][1], 9: rows[5][1]}
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {k: (v, len(v)) for k, v in want.items()}
+
+
 # --- op4
 
 
