@@ -6,8 +6,8 @@ trusted seeds along links, another from the blocked seeds against them, so that
 A host with more than ``THRESHOLD`` of both ranks' sum as distrust is blocked, any other allowed.
 
 Links are counted per pair of hosts before anything else, so the graph has a row for each pair and not for each link, and a host with a third
-of all pages is a few rows. Both walks share one table of edges. Ranks are rounded to ``DIGITS`` digits after each round, so
-the order of addition doesn't show.
+of all pages is a few rows. Both walks share one table of edges. They go on until no host is new and no rank changes by more than
+``TOLERANCE`` of itself. Only the final share is rounded, so small ranks of a large graph count as large ones do.
 """
 
 from __future__ import annotations
@@ -32,7 +32,10 @@ class Rule(NamedTuple):
 
 #: Fixed values.
 RULES = (Rule("com", "/en/", False), Rule("example.com", "/en/7", True), Rule("net", "/de/", True), Rule("example.net", "/de/8", False), Rule("org", "/es/", False))
-DAMPING, ROUNDS, DIGITS, THRESHOLD = 0.85, 8, 12, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+TOLERANCE, MOST_ROUNDS = 1e-8, 1000
+#: The walk written out in SQL: rounds, and digits its ranks are rounded to.
+ROUNDS, DIGITS = 8, 12
 #: Rounds between two tables that cut the lineage.
 STAGED = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,10 +76,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.filter((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def ranks(edges: DataFrame, seeds: DataFrame, rounds: int | None = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust) from (src, dst, n) edges and (host, good, bad) seed weights.
 
-    A host that no walk reaches is no row. Rank that meets a host without further links goes back to the seeds.
+    With rounds None the walks go on until they are settled; after MOST_ROUNDS that is an error. A host that no walk reaches is no row. Rank that meets a host without further links goes back to the seeds.
     """
     both = edges.select(F.lit(True).alias("good"), "src", "dst", "n").unionByName(edges.select(F.lit(False).alias("good"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     outgoing = both.groupBy("good", "src").agg(F.sum("n").alias("all"))
@@ -85,17 +88,25 @@ def ranks(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: flo
     total = start.groupBy("good").agg(F.sum("w").alias("total"))
     start = stage(start.join(total, "good").select("good", "host", (F.col("w") / F.col("total")).alias("seed")), "start")
     now = start.select("good", "host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        moved = now.join(steps, ["good", "host"]).groupBy("good", F.col("dst").alias("host")).agg(F.round(F.sum(F.col("rank") * F.col("share")), DIGITS).alias("got"))
+    for k in range(MOST_ROUNDS if rounds is None else rounds):
+        before = now
+        moved = now.join(steps, ["good", "host"]).groupBy("good", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         kept = moved.groupBy("good").agg(F.sum("got").alias("kept"))
         back = start.join(kept, "good", "left").select("good", "host", (F.col("seed") * (1 - damping * F.coalesce("kept", F.lit(0.0)))).alias("again"))
-        now = back.join(moved, ["good", "host"], "full").select("good", "host", F.round(damping * F.coalesce("got", F.lit(0.0)) + F.coalesce("again", F.lit(0.0)), DIGITS).alias("rank"))
+        now = back.join(moved, ["good", "host"], "full").select("good", "host", (damping * F.coalesce("got", F.lit(0.0)) + F.coalesce("again", F.lit(0.0))).alias("rank"))
         if k % STAGED == STAGED - 1:
-            now = stage(now, "ranks")
+            now = stage(now.join(before.withColumnRenamed("rank", "was"), ["good", "host"], "left"), "ranks")
+            settled = F.coalesce(F.abs(F.col("rank") - F.col("was")) <= TOLERANCE * F.col("rank"), F.lit(False))
+            if rounds is None and now.filter(~settled).isEmpty():
+                break
+            now = now.drop("was")
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks are not settled after {MOST_ROUNDS} rounds")
     return now.groupBy("host").agg(F.sum(F.when(F.col("good"), F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("good"), 0.0).otherwise(F.col("rank"))).alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = THRESHOLD, rounds: int | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, distrust) for every row of pages (page_id, url, html; other columns are ignored).
 
     A null url, or one without ``://``, has neither host nor path and fits no rule; it is allowed, as is a host without any rank.

@@ -193,6 +193,14 @@ def test_ranks_equal_a_dense_walk(spark):
         assert all(abs(got.get(f"h{i}", (0, 0))[k] - x[i]) < 1e-9 for i in range(n))
 
 
+def test_walks_go_on_until_settled(spark):
+    chain = [(f"c{i + 1}", f"c{i}", 1) for i in range(11)] + [("c0", "s", 1), ("o", "s", 1499), ("x", "s", 1), ("o", "x", 1499), ("z", "x", 1)]
+    edges = spark.createDataFrame(chain, "src string, dst string, n long")
+    r = {x.host: x for x in urlfilter.ranks(edges, spark.createDataFrame([("s", 0.0, 1.0), ("t", 0.0, 1e6)], "host string, good double, bad double"), None).collect()}
+    assert r["c11"].distrust > 0 and r["c11"].trust == 0  # twelve links from the seed
+    assert 0 < r["z"].distrust < 5e-13
+
+
 # --- op3
 
 
