@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lodestar.plans.staging import cut
 from lodestar.schema import BINARY_DEGREES, CAUSAL_TYPES, DEGREES, OVERLAPPING_TYPES
 from lodestar.sources.parses import files
 
@@ -117,19 +118,25 @@ def instances(t: dict[str, DataFrame], sentences: DataFrame, binarize: bool = Tr
 # --- writing
 
 
-def fragments(tokens: Column, text: Column, indices: Column) -> Column:
-    """Character fragments of a token set: runs of neighbours, cut where indices skip or a line ends between tokens."""
-    own = F.array_sort(F.filter(F.transform(indices, lambda i: F.get(F.filter(tokens, lambda t: t["idx"] == i), F.lit(0))), lambda t: t["start"].isNotNull()))
+def fragments(tokens: str | Column, text: str | Column, indices: str | Column) -> Column:
+    """Character fragments of a token set: runs of neighbours, cut where indices skip or a line ends between tokens.
 
-    def join(acc, t):
-        last = F.element_at(acc, -1)
-        line_ends = F.contains(F.substring(text, last["end"] + 1, t["start"] - last["end"]), F.lit("\n"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), t["end"].alias("end"), t["idx"].alias("idx"))))
-        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["idx"] + 1 == t["idx"]) & ~F.coalesce(line_ends, F.lit(False)), grown).otherwise(F.array_append(acc, F.struct(t["start"].alias("start"), t["end"].alias("end"), t["idx"].alias("idx"))))
+    Tokens that don't stand in the text are left out. A run begins at a token whose predecessor in the set is not the one before it.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    own = F.array_sort(F.filter(tokens, lambda t: F.array_contains(indices, t["idx"]) & t["start"].isNotNull()))
+
+    def begins(t, k):
+        before = F.get(F.filter(own, lambda o: o["idx"] == t["idx"] - 1), F.lit(0))
+        return before.isNull() | F.contains(F.substring(text, before["end"] + 1, t["start"] - before["end"]), F.lit("\n"))
+
+    marked = F.transform(own, lambda t, k: t.withField("first", begins(t, k)))
+    firsts = F.filter(marked, lambda t: t["first"])
+    last = lambda f, k: F.array_max(F.transform(F.filter(marked, lambda t: (t["idx"] >= f["idx"]) & (F.get(firsts, k + 1).isNull() | (t["idx"] < F.get(firsts, k + 1)["idx"]))), lambda t: t["end"]))
+    return F.transform(firsts, lambda f, k: F.struct(f["start"].alias("start"), last(f, k).alias("end")))
 
-    start = F.array().cast("array<struct<start:int,end:int,idx:int>>")
-    join_safe = lambda acc, t: F.when(F.size(acc) == 0, F.array(F.struct(t["start"].alias("start"), t["end"].alias("end"), t["idx"].alias("idx")))).otherwise(join(acc, t))
-    return F.aggregate(own, start, join_safe, lambda acc: F.transform(acc, lambda f: F.struct(f["start"], f["end"])))
+
+_PARTS = ("connective", "cause", "effect", "means")
 
 
 def standoff_lines(rows: DataFrame, sentences: DataFrame, texts: DataFrame, first_char: Column | int = 0) -> DataFrame:
@@ -138,35 +145,36 @@ def standoff_lines(rows: DataFrame, sentences: DataFrame, texts: DataFrame, firs
     Spans used twice are written once. Events and attributes are numbered per document in the order of their connectives; an
     instance without a type is written as UNKNOWN. first_char is taken off all offsets (S18).
     """
-    r = rows.join(sentences.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"]).join(texts, "doc_id")
-    pieces = {c: fragments(F.col("tokens"), F.col("text"), F.coalesce(F.col(c), F.array().cast("array<int>"))) for c in ("connective", "cause", "effect", "means")}
-    r = r.select("doc_id", "inst_id", "kind", "causal_type", "degree", "overlap_types", "text", *[v.alias(k) for k, v in pieces.items()])
+    # the parts of an instance are rows, so that fragments are one expression; what is numbered from them is cut from that plan
+    named = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("indices")) for k, c in enumerate(_PARTS)])
+    placed = rows.join(sentences.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"]).join(texts.select("doc_id", "text"), "doc_id")
+    parts = placed.select("doc_id", "inst_id", "kind", "causal_type", "degree", "overlap_types", "text", "tokens", F.inline(F.filter(named, lambda p: F.size(p["indices"]) > 0)))
+    parts = parts.withColumn("frags", fragments("tokens", "text", "indices")).filter(F.size("frags") > 0)
+    said = F.array_join(F.transform("frags", lambda f: F.substring(F.col("text"), f["start"] + 1, f["end"] - f["start"])), " ")
+    per = parts.withColumn("said", said).groupBy("doc_id", "inst_id", "kind", "causal_type", "degree", "overlap_types").agg(F.collect_list(F.struct("k", "frags", "said")).alias("parts"))
+    order = F.transform(F.filter("parts", lambda p: p["k"] == 0), lambda p: p["frags"])
+    w = Window.partitionBy("doc_id").orderBy(F.get(order, F.lit(0)), "inst_id")
     label = F.when(F.col("kind") == "causal", F.coalesce("causal_type", F.lit("UNKNOWN"))).otherwise("NonCausal")
-    w = Window.partitionBy("doc_id").orderBy(F.get("connective", F.lit(0))["start"], F.col("connective"), "inst_id")
-    r = r.withColumn("n", F.row_number().over(w)).withColumn("label", label)
-    use = lambda c, t, what: r.filter(F.size(c) > 0).select("doc_id", "n", F.lit(what).alias("what"), t.alias("type"), F.col(c).alias("frags"), "text")
-    uses = use("connective", F.col("label"), "connective")
-    for c in ("cause", "effect", "means"):
-        uses = uses.unionByName(use(c, F.lit("Argument"), c))
+    r = cut(per.withColumn("n", F.row_number().over(w)).withColumn("label", label))
+    uses = r.select("doc_id", "n", "label", F.inline("parts"))
     # arguments are shared, connectives belong to their instance
-    own = F.when(F.col("what") == "connective", F.col("n")).otherwise(0)
-    uses = uses.withColumn("own", own)
-    ids = uses.groupBy("doc_id", "type", "frags", "own").agg(F.min("n").alias("n"), F.first("text").alias("text"))
-    ids = ids.withColumn("tid", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "own", "frags", "type")))
+    uses = uses.select("doc_id", "n", "k", "frags", "said", F.when(F.col("k") == 0, F.col("label")).otherwise("Argument").alias("type"), F.when(F.col("k") == 0, F.col("n")).otherwise(0).alias("own"))
+    ids = uses.groupBy("doc_id", "type", "frags", "own").agg(F.min("n").alias("first"), F.first("said").alias("said"), F.collect_list(F.struct("n", "k")).alias("used"))
+    ids = cut(ids.withColumn("tid", F.row_number().over(Window.partitionBy("doc_id").orderBy("first", "own", "frags", "type"))))
     shift = F.lit(first_char) if isinstance(first_char, int) else first_char
     where = F.array_join(F.transform("frags", lambda f: F.concat_ws(" ", (f["start"] - shift).cast("string"), (f["end"] - shift).cast("string"))), ";")
-    said = F.array_join(F.transform("frags", lambda f: F.substring(F.col("text"), f["start"] + 1, f["end"] - f["start"])), " ")
-    t_lines = ids.select("doc_id", F.lit(0).alias("k"), F.col("tid").alias("m"), F.concat(F.lit("T"), F.col("tid"), F.lit("\t"), F.col("type"), F.lit(" "), where, F.lit("\t"), said).alias("line"))
-    named = uses.join(ids.select("doc_id", "type", "frags", "own", "tid"), ["doc_id", "type", "frags", "own"]).groupBy("doc_id", "n").agg(*[F.max(F.when(F.col("what") == c, F.col("tid"))).alias(c) for c in ("connective", "cause", "effect", "means")])
-    role = lambda n, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" {n}:T"), F.col(c))).otherwise("")
-    e = named.join(r.select("doc_id", "n", "label", "degree", "overlap_types"), ["doc_id", "n"])
-    e_lines = e.select("doc_id", F.lit(1).alias("k"), F.col("n").alias("m"), F.concat(F.lit("E"), F.col("n"), F.lit("\t"), F.col("label"), F.lit(":T"), F.col("connective"), role("Cause", "cause"), role("Effect", "effect"), role("Means", "means")).alias("line"))
-    attr = F.concat(F.when(F.col("degree").isNotNull(), F.array(F.concat(F.lit("Degree E"), F.col("n"), F.lit(" "), F.col("degree")))).otherwise(F.array().cast("array<string>")), F.transform("overlap_types", lambda t: F.concat(F.regexp_replace(t, "_", "-"), F.lit(" E"), F.col("n"))))
-    a = e.select("doc_id", "n", F.posexplode(attr).alias("p", "attr"))
-    a = a.withColumn("m", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "p")))
-    a_lines = a.select("doc_id", F.lit(2).alias("k"), "m", F.concat(F.lit("A"), F.col("m"), F.lit("\t"), F.col("attr")).alias("line"))
+    t_lines = ids.select("doc_id", F.lit(0).alias("k"), F.col("tid").alias("m"), F.lit(0).alias("p"), F.concat(F.lit("T"), F.col("tid"), F.lit("\t"), F.col("type"), F.lit(" "), where, F.lit("\t"), "said").alias("line"))
+    given = ids.select("doc_id", "tid", F.inline("used")).groupBy("doc_id", "n").agg(*[F.max(F.when(F.col("k") == k, F.col("tid"))).alias(c) for k, c in enumerate(_PARTS)])
+    role = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f" {c.capitalize()}:T"), F.col(c))).otherwise("")
+    e = given.join(r.select("doc_id", "n", "label", "degree", "overlap_types"), ["doc_id", "n"])
+    e_lines = e.select("doc_id", F.lit(1).alias("k"), F.col("n").alias("m"), F.lit(0).alias("p"), F.concat(F.lit("E"), F.col("n"), F.lit("\t"), F.col("label"), F.lit(":T"), F.col("connective"), *[role(c) for c in _PARTS[1:]]).alias("line"))
+    no = F.array().cast("array<string>")
+    attr = F.concat(F.when(F.col("degree").isNotNull(), F.array(F.concat(F.lit("Degree E"), F.col("n"), F.lit(" "), F.col("degree")))).otherwise(no), F.transform(F.coalesce("overlap_types", no), lambda t: F.concat(F.regexp_replace(t, "_", "-"), F.lit(" E"), F.col("n"))))
+    a = e.select("doc_id", F.lit(2).alias("k"), F.col("n").alias("m"), F.posexplode(attr).alias("p", "line"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "m", "p"))
+    a_lines = a.select("doc_id", "k", "m", "p", F.concat(F.lit("A"), nth, F.lit("\t"), F.col("line")).alias("line"))
     lines = t_lines.unionByName(e_lines).unionByName(a_lines)
-    return lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "m")) - 1).alias("line_no"), "line")
+    return lines.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "m", "p")) - 1).alias("line_no"), "line")
 
 
 def trimmed(sentences: DataFrame, first: int, last: int) -> DataFrame:
