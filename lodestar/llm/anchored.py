@@ -5,7 +5,7 @@ anchors. Consecutive windows of one document with the same anchor form a segment
 every (W - k) / 2 units or so. Only segments whose anchor occurs again anywhere can hold a repeated window; equal
 segments are repeats as a whole, and only what is left of distinct segments under one anchor needs a closer look.
 
-Rows are (id, s, n, m, ah, sh): windows [s, s + n) of document id, m: 2 if the anchor's gram occurs more than once within
+Rows are (row, s, n, m, ah, sh): windows [s, s + n) of the document with that key, m: 2 if the anchor's gram occurs more than once within
 the segment (its windows may then repeat each other) and else 1, the anchor's hash and that of the segment's content.
 """
 
@@ -26,7 +26,7 @@ NULL_IDS = -(2**62)
 
 
 def document_key() -> Column:
-    own = F.lit(NULL_IDS) - F.shiftrightunsigned(F.xxhash64("text"), 2)
+    own = F.lit(NULL_IDS) - F.shiftrightunsigned(F.xxhash64(F.col("text").cast("string")), 2)
     return F.coalesce(F.col("doc_id").cast("long"), own).alias("id")
 
 
@@ -35,8 +35,9 @@ def real_id(column: str = "id") -> Column:
 
 
 def own_texts(docs: DataFrame) -> DataFrame:
-    """(id, text). Rows with one doc_id are one document; a null text is empty."""
-    return docs.select(document_key(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """(id, row, text). row tells rows with one doc_id but other texts apart, equal rows share it; a null text is empty."""
+    text = F.col("text").cast("string")
+    return docs.select(document_key(), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def segments(values: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -64,14 +65,16 @@ def segments(values: np.ndarray, first: np.ndarray, width: int, gram: int) -> tu
 
 
 def scan(texts: DataFrame, unit: Callable[[tv.Chunk], tuple[np.ndarray, np.ndarray]], width: int, gram: int) -> DataFrame:
-    """All segments of (id, text) rows; unit gives a chunk's 64-bit values and document bounds."""
+    """All segments of texts (text and long keys), with these keys; unit gives a chunk's 64-bit values and document bounds."""
+    keys = [c for c in texts.columns if c != "text"]
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for c in tv.chunks(b.column("text")):
             doc, s, n, m, ah, sh = segments(*unit(c), width, gram)
-            yield batch(id=b["id"].slice(c.row, c.n).take(pa.array(doc)), s=s, n=n, m=m, ah=signed(ah), sh=signed(sh))
+            at = pa.array(doc)
+            yield batch(**{k: b[k].slice(c.row, c.n).take(at) for k in keys}, s=s, n=n, m=m, ah=signed(ah), sh=signed(sh))
 
-    return texts.mapInArrow(each(run), "id long, s long, n long, m long, ah long, sh long")
+    return texts.mapInArrow(each(run), ", ".join(f"{k} long" for k in (*keys, "s", "n", "m", "ah", "sh")))
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -81,8 +84,8 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row per document with the list of its rows: at most as long as the document."""
-    return rows.groupBy("id").agg(F.collect_list(F.struct(*columns)).alias("list"))
+    """One row per document (row) with the list of its rows: at most as long as the document."""
+    return rows.groupBy("row").agg(F.collect_list(F.struct(*columns)).alias("list"))
 
 
 def bounds(column: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -7,9 +7,7 @@ null id counts as the smallest one, and repeated rows (same id, same text) all g
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,13 +19,17 @@ LEAST_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), one of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine gets one of its own; a cluster has to name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="lodestar-")
-        if not own.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
+        sc = spark.sparkContext
+        own = sc._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get()
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="lodestar-")
+        sc.setCheckpointDir(folder)
     return folder
 
 
@@ -40,20 +42,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Shuffle files of a query go when it ends, not when the driver happens to collect garbage.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
-    The table is deleted when the driver's Python ends. Shuffle files of what led to it are freed as soon as the JVM
-    collects the plan, which is asked for here.
+    The shuffle files of what led to it are freed at once; the table is deleted when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     atexit.register(_remove, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.3)  # Spark lets go of the last query meanwhile
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

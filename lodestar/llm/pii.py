@@ -38,7 +38,7 @@ _DOTTED = re.compile(r"\s?([A-Za-z0-9-]+)(?:\s?(?:\[dot\]|\(dot\)|\{dot\}| dot |
 _USER = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+(?=@)")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCOUNT = re.compile(r"\s*(?:no\.?|number|nr\.?|#)?\s*[:=]?\s*([0-9](?:[\x20-]?[0-9]){7,16})(?![0-9])", re.I)
-_SECRET = re.compile(r"\s*[:=]\s*([\"']?)([A-Za-z0-9_\-+/=.]{12,})\1")
+_SECRET = re.compile(r"\s{0,16}[:=]\s{0,16}([\"']?)([A-Za-z0-9_\-+/=.]{12,})\1")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -90,7 +90,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     spans: list[tuple[str, int, int]] = []
-    email = ip = card = phone = -1  # where search goes on
+    email = ip = card = phone = secret = -1  # where search goes on
     for last, (kind, size) in _AC.iter(text):
         if kind == "digit":
             if last >= card:
@@ -107,7 +107,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 m = _IP.match(text, last)
                 if m:
                     ip = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
                         spans.append(("ip", last, ip))
             if last >= 3 and (last == 3 or not text[last - 4].isalnum()) and text[last - 1] in _DIGIT and text[last - 2].isupper() and text[last - 3].isupper():
                 m = _IBAN.match(text, last - 3)
@@ -142,8 +142,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if m:
                 spans.append(("account", *m.span(1)))
         else:
-            m = _SECRET.match(text, last + 1)
+            m = _SECRET.match(text, last + 1) if last >= secret else None  # cues within a value are part of it
             if m:
+                secret = m.end()
                 spans.append(("secret", *m.span(2)))
     spans.sort(key=lambda s: (s[1], _RANK[s[0]], s[2]))
     return spans

@@ -1,9 +1,10 @@
 """Substring dedup by seed and extend.
 
-Seeds are winnowed anchors (``anchored``): documents meet where they share one. A shared seed extends both ways to the
-windows around it. Segments that are equal as a whole extend over all of it at once; where the texts around one seed
-differ, each extended window is looked up on its own, and its first occurrence stays. What is removed is the union of
-the windows that occurred earlier, as maximal runs; each is a repeat of at least ``WINDOW`` words.
+Seeds are winnowed anchors (``anchored``): documents meet where they share one. A shared seed stands for the windows that hold
+it on both sides, its segment. Segments that are equal as a whole are one match over all of it. Where the texts around one seed
+differ, pairs of occurrences are not extended word by word, as a seed in a third of all documents has too many pairs: the windows around each occurrence are
+looked up by their hash, which finds the same matches with a row for each window, and the first occurrence stays. What is removed
+is the union of the windows that occurred earlier, as maximal runs; each is a repeat of at least ``WINDOW`` words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def _unit(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _extended(window: int) -> Callable:
-    """The windows of the listed segments, as (id, s, wh)."""
+    """The windows of the listed segments, as (id, row, s, wh)."""
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         flat, at = anchored.bounds(b["list"])
@@ -40,7 +41,7 @@ def _extended(window: int) -> Callable:
             fits = pos + window <= first[owner + 1]
             pos, owner = pos[fits], owner[fits]
             wh = tv.Rolling(h).of(pos, pos + window)
-            yield batch(id=b["id"].slice(c.row, c.n).take(pa.array(owner)), s=pos - first[owner], wh=signed(wh))
+            yield batch(id=b["id"].slice(c.row, c.n).take(pa.array(owner)), row=b["row"].slice(c.row, c.n).take(pa.array(owner)), s=pos - first[owner], wh=signed(wh))
 
     return each(run)
 
@@ -75,21 +76,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     """(id, n_words, n_removed, spans, text) for every row of docs (doc_id, text; other columns are ignored).
 
     spans are the maximal removed runs of words, text the kept words joined by one space (UTF-8). Documents count in
-    the order of doc_id; those without one come first, in the order of their texts' hashes. Rows with one doc_id are one
-    document, so repeated rows don't make each other repeats. A null or empty text has no words.
+    the order of doc_id; those without one come first, and those with the same one stand together, in the order of their texts'
+    hashes. Equal rows are one document, so they don't make each other repeats. A null or empty text has no words.
     """
     texts = anchored.own_texts(docs)
     seeds = stage(anchored.shared(anchored.scan(texts, _unit, window, seed)), "seeds")
-    firsts = seeds.groupBy("ah", "sh").agg(F.min(F.struct("id", "s", "n")).alias("first"), F.max("m").alias("m"))
+    place = F.struct("id", "row", "s")
+    firsts = seeds.groupBy("ah", "sh").agg(F.min(F.struct("id", "row", "s", "n")).alias("first"), F.max("m").alias("m"))
+    later = place != F.struct("first.id", "first.row", "first.s")
     ends = lambda n: (F.col("s") + n + window - 1).alias("e")
-    whole = seeds.join(dealt_anew(firsts, "ah", "sh"), ["ah", "sh"]).filter((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s"))).select("id", "s", ends(F.col("n")))
+    whole = seeds.join(dealt_anew(firsts, "ah", "sh"), ["ah", "sh"]).filter(later).select("row", "s", ends(F.col("n")))
     mixed = firsts.groupBy("ah").agg(F.sum("m").alias("c")).filter("c > 1").select("ah")
-    open_ = firsts.join(dealt_anew(mixed, "ah"), "ah").select("first.id", "first.s", "first.n")
-    found = stage(texts.join(anchored.per_document(open_, "s", "n"), "id").select("id", "text", "list").mapInArrow(_extended(window), "id long, s long, wh long"), "windows")
-    earliest = found.groupBy("wh").agg(F.min(F.struct("id", "s")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("wh", "first")
-    late = found.join(dealt_anew(earliest, "wh"), "wh").filter((F.col("id") != F.col("first.id")) | (F.col("s") != F.col("first.s"))).select("id", "s", ends(F.lit(1)))
+    open_ = firsts.join(dealt_anew(mixed, "ah"), "ah").select("first.row", "first.s", "first.n")
+    found = stage(texts.join(anchored.per_document(open_, "s", "n"), "row").select("id", "row", "text", "list").mapInArrow(_extended(window), "id long, row long, s long, wh long"), "windows")
+    earliest = found.groupBy("wh").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").select("wh", "first")
+    late = found.join(dealt_anew(earliest, "wh"), "wh").filter(later).select("row", "s", ends(F.lit(1)))
     gone = anchored.per_document(whole.unionByName(late), "s", "e")
-    return texts.join(gone, "id", "left").select("id", "text", "list").mapInArrow(each(_cleaned), "id long, n_words long, n_removed long, spans array<struct<s:long,e:long>>, text binary")
+    return texts.join(gone, "row", "left").select("id", "text", "list").mapInArrow(each(_cleaned), "id long, n_words long, n_removed long, spans array<struct<s:long,e:long>>, text binary")
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,9 +137,9 @@ def repeats(pieces: list[bytes], owned: np.ndarray, window: int) -> tuple[np.nda
     return raw, start, hit, out
 
 
-_PIECES = "ah long, id long, s long, n long, alone boolean, bytes binary"
-_FOUND = "id long, s long, e long, range int, run binary"
-_STRING = np.dtype([("wh", "<u8"), ("id", "<i8"), ("s", "<i8")])
+_PIECES = "ah long, row long, s long, n long, alone boolean, bytes binary"
+_FOUND = "row long, s long, e long, range int, run binary"
+_STRING = np.dtype([("wh", "<u8"), ("row", "<i8"), ("s", "<i8")])
 
 
 def _cut(window: int) -> Callable:
@@ -156,7 +156,7 @@ def _cut(window: int) -> Callable:
                     held, last = memoryview(texts[d].as_buffer()), d
                 pieces.append(bytes(held[x : x + k + window - 1]))
             f = flat.slice(lo, 4096)
-            yield batch(ah=f.field("ah"), id=b["id"].take(pa.array(doc[part])), s=s[part], n=n[part], alone=f.field("alone"), bytes=pa.array(pieces, pa.binary()))
+            yield batch(ah=f.field("ah"), row=b["row"].take(pa.array(doc[part])), s=s[part], n=n[part], alone=f.field("alone"), bytes=pa.array(pieces, pa.binary()))
 
     return each(run)
 
@@ -165,7 +165,7 @@ def _result(ids, s, e, ranges=(), runs=()) -> pa.Table:
     n, m = len(ids), len(ranges)
     none = pa.nulls(m, pa.int64())
     columns = [pa.concat_arrays([pa.array(x, pa.int64()), none]) for x in (ids, s, e)]
-    return pa.table([*columns, pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(ranges, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())])], ["id", "s", "e", "range", "run"])
+    return pa.table([*columns, pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(ranges, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(runs, pa.binary())])], ["row", "s", "e", "range", "run"])
 
 
 def _shard(window: int, ranges: int) -> Callable:
@@ -176,7 +176,7 @@ def _shard(window: int, ranges: int) -> Callable:
     """
 
     def run(t: pa.Table) -> pa.Table:
-        ids, s, n = (t[k].to_numpy() for k in ("id", "s", "n"))
+        ids, s, n = (t[k].to_numpy() for k in ("row", "s", "n"))
         alone, part, pieces = np.asarray(t["alone"].to_pylist(), bool), t["part"][0].as_py(), t["bytes"].to_pylist()
         raw, start, hit, group = repeats(pieces, np.clip(np.array([len(x) - window + 1 for x in pieces]), 0, n), window)
         segment = np.repeat(np.arange(len(n)), np.diff(np.append(start, len(raw))))
@@ -190,7 +190,7 @@ def _shard(window: int, ranges: int) -> Callable:
         at = pos[first]
         o = segment[at]
         strings = np.zeros(len(at), _STRING)
-        strings["wh"], strings["id"] = tv.Rolling(tv.byte_values(raw)).of(at, at + window), ids[o]
+        strings["wh"], strings["row"] = tv.Rolling(tv.byte_values(raw)).of(at, at + window), ids[o]
         strings["s"] = np.where((size == 1) & alone[o], s[o] + at - start[o], -1)
         of = (strings["wh"] >> np.uint64(8)) % np.uint64(ranges)
         order = np.lexsort((strings["wh"], of))
@@ -210,11 +210,11 @@ def _merge(window: int) -> Callable:
         everything = np.sort(np.concatenate([r["wh"] for r in runs]))
         again = [r[(np.searchsorted(everything, r["wh"], "right") - np.searchsorted(everything, r["wh"], "left") > 1) & (r["s"] >= 0)] for r in runs]
         hits = np.concatenate(again)
-        hits = hits[np.lexsort((hits["s"], hits["id"]))]
-        new = np.concatenate((np.ones(min(1, len(hits)), bool), (hits["id"][1:] != hits["id"][:-1]) | (hits["s"][1:] > hits["s"][:-1] + window)))
+        hits = hits[np.lexsort((hits["s"], hits["row"]))]
+        new = np.concatenate((np.ones(min(1, len(hits)), bool), (hits["row"][1:] != hits["row"][:-1]) | (hits["s"][1:] > hits["s"][:-1] + window)))
         begin = np.flatnonzero(new)  # overlapping strings go out as one span
         end = np.append(begin[1:], len(hits)) - 1 if len(begin) else begin
-        return _result(hits["id"][begin], hits["s"][begin], hits["s"][end] + window)
+        return _result(hits["row"][begin], hits["s"][begin], hits["s"][end] + window)
 
     return run
 
@@ -240,29 +240,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     """(id, n_bytes, n_removed, spans, kept) for every row of docs (doc_id, text; other columns are ignored).
 
     spans are the maximal removed runs of bytes, kept the rest, which may end within a character. A null or empty text
-    has no bytes. Equal rows count as two documents, so each is the other's copy.
+    has no bytes. Rows are told apart by doc_id and text; equal ones count as two documents, so each is the other's copy.
     """
     texts = anchored.own_texts(docs)
-    seeds = stage(anchored.shared(anchored.scan(texts, _unit, window, gram)), "segments")
-    kinds = seeds.groupBy("ah", "sh").agg(F.min(F.struct("id", "s", "n")).alias("first"), F.count("*").alias("c"), F.max("m").alias("m"))
-    whole = seeds.join(dealt_anew(kinds.filter("c > 1").select("ah", "sh"), "ah", "sh"), ["ah", "sh"]).select("id", "s", (F.col("s") + F.col("n") + window - 1).alias("e"))
+    seeds = stage(anchored.shared(anchored.scan(texts.select("row", "text"), _unit, window, gram)), "segments")
+    kinds = seeds.groupBy("ah", "sh").agg(F.min(F.struct("row", "s", "n")).alias("first"), F.count("*").alias("c"), F.max("m").alias("m"))
+    whole = seeds.join(dealt_anew(kinds.filter("c > 1").select("ah", "sh"), "ah", "sh"), ["ah", "sh"]).select("row", "s", (F.col("s") + F.col("n") + window - 1).alias("e"))
     anchors = kinds.groupBy("ah").agg(F.sum("m").alias("k"), F.sum(F.col("first.n") + window).alias("bytes")).filter("k > 1")
-    open_ = kinds.join(dealt_anew(anchors, "ah"), "ah").select("ah", "first.id", "first.s", "first.n", (F.col("c") == 1).alias("alone"), "bytes")
+    open_ = kinds.join(dealt_anew(anchors, "ah"), "ah").select("ah", "first.row", "first.s", "first.n", (F.col("c") == 1).alias("alone"), "bytes")
     open_ = stage(open_, "open")
     total = open_.agg(F.sum(F.col("n") + window)).first()[0] or 0
     parts = F.ceil(F.col("bytes") / shard).cast("long")
-    pieces = texts.join(anchored.per_document(open_, "s", "n", "ah", "alone"), "id").select("id", "text", "list").mapInArrow(_cut(window), _PIECES)
+    pieces = texts.join(anchored.per_document(open_, "s", "n", "ah", "alone"), "row").select("row", "text", "list").mapInArrow(_cut(window), _PIECES)
     hot = open_.filter(F.col("bytes") > shard).select("ah", parts.alias("parts")).distinct()
     dealt = pieces.join(dealt_anew(hot, "ah"), "ah", "left").select(
-        F.when(F.col("parts").isNull(), F.pmod("ah", F.lit(max(1, -(-total // shard))))).otherwise(F.xxhash64("ah", F.pmod(F.xxhash64("id", "s"), "parts"))).alias("shard"),
-        F.col("parts").isNotNull().alias("part"), "id", "s", "n", "alone", "bytes",
+        F.when(F.col("parts").isNull(), F.pmod("ah", F.lit(max(1, -(-total // shard))))).otherwise(F.xxhash64("ah", F.pmod(F.xxhash64("row", "s"), "parts"))).alias("shard"),
+        F.col("parts").isNotNull().alias("part"), "row", "s", "n", "alone", "bytes",
     )
     spread = open_.filter(F.col("bytes") > shard).agg(F.sum("n")).first()[0] or 0
     found = stage(dealt.groupBy("shard", "part").applyInArrow(_shard(window, -(-spread // merge) or 1), _FOUND), "suffixes")
     across = found.filter("run is not null").groupBy("range").applyInArrow(_merge(window), _FOUND)
-    spans = found.filter("run is null").unionByName(across).select("id", "s", "e")
+    spans = found.filter("run is null").unionByName(across).select("row", "s", "e")
     gone = anchored.per_document(whole.unionByName(spans), "s", "e")
-    return texts.join(gone, "id", "left").select("id", "text", "list").mapInArrow(each(_digest), "id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
+    return texts.join(gone, "row", "left").select("id", "text", "list").mapInArrow(each(_digest), "id long, n_bytes long, n_removed long, spans array<struct<s:long,e:long>>, kept binary")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

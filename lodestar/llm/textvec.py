@@ -4,7 +4,8 @@ A batch of texts is one byte buffer and document offsets; words, rolling hashes
 over that buffer, so the cost is a few nanoseconds a byte and nothing loops over words in Python. Buffers are cut at
 document borders into chunks of about ``CHUNK`` bytes, which bounds the memory however large the Arrow batch is.
 
-Hashes are 64-bit polynomial hashes finished by a mixing step; two different strings collide with a chance near 2**-64.
+Hashes are two polynomials modulo the prime 2**31 - 1, each at a base of its own, joined and mixed: 62 bits. Two different strings
+of n values collide with a chance near 2**-62, and whatever their structure not above (n / 2**31)**2 over the choice of bases.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is a chunk of its own.
 CHUNK = 1 << 19
-_P = np.uint64(0x9E3779B97F4A7C15)
-_Q = np.uint64(0xD1342543DE82EF95)
+_PRIME = np.uint64(2**31 - 1)
+#: Bases of bytes within words, and of any other sequence.
+_IN_WORDS, _ANY = (1_270_406_117, 1_839_501_773), (1_581_277_801, 1_144_938_649)
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: ASCII white space, code points 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
@@ -28,18 +30,22 @@ _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _pow(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    have = _powers.get(int(base))
+def _table(base: int, n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    have = 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, int(_PRIME))) % _PRIME
+        have += more
+    return out
+
+
+def _pow(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo the prime, at least n of each."""
+    have = _powers.get(base)
     if have is None or len(have[0]) < n:
         n = max(n, CHUNK + 4096)
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        up, down = np.full(n, base), np.full(n, inverse)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            np.multiply.accumulate(up, out=up)
-            np.multiply.accumulate(down, out=down)
-        _powers[int(base)] = have = (up, down)
+        _powers[base] = have = (_table(base, n), _table(pow(base, -1, int(_PRIME)), n))
     return have
 
 
@@ -54,31 +60,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _prefix(values: np.ndarray, base: np.uint64) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * _pow(base, len(values) + 1)[0][: len(values)], out=out[1:])
-    return out
-
-
 class Rolling:
-    """Hash of any slice [start, end) of a sequence of 64-bit values, from one prefix sum."""
+    """Hash of any slice [start, end) of a sequence of 64-bit values, from prefix sums."""
 
-    def __init__(self, values: np.ndarray, base: np.uint64 = _Q):
-        self.base, self.sums = base, _prefix(values, base)
+    def __init__(self, values: np.ndarray, bases: tuple[int, int] = _ANY):
+        self.bases, self.sums = bases, []
+        for base, lane in zip(bases, (values & _PRIME, values >> np.uint64(33)), strict=True):
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(lane * _pow(base, len(sums))[0][: len(values)] % _PRIME, out=sums[1:])  # below 2**31 each: no overflow
+            self.sums.append(sums)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((s[end] - s[start]) % _PRIME * _pow(base, len(s))[1][start] % _PRIME for base, s in zip(self.bases, self.sums, strict=True))
         with np.errstate(over="ignore"):
-            raw = (self.sums[end] - self.sums[start]) * _pow(self.base, len(self.sums))[1][start]
-            return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+            return mix((a << np.uint64(31) | b) + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
     def grams(self, k: int) -> np.ndarray:
         """Hashes of all slices of k values, in order."""
-        n = len(self.sums) - k
+        n = len(self.sums[0]) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
-        with np.errstate(over="ignore"):
-            return mix((self.sums[k:] - self.sums[:-k]) * _pow(self.base, len(self.sums))[1][:n])
+        a, b = ((s[k:] - s[:-k]) % _PRIME * _pow(base, len(s))[1][:n] % _PRIME for base, s in zip(self.bases, self.sums, strict=True))
+        return mix(a << np.uint64(31) | b)
 
 
 class Chunk(NamedTuple):
@@ -149,7 +152,7 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, w: Words) -> np.ndarray:
-    return Rolling(_TABLE[data], _P).of(w.start, w.end)
+    return Rolling(_TABLE[data], _IN_WORDS).of(w.start, w.end)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
