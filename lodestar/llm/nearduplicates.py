@@ -3,11 +3,13 @@
 A document's signature has ``COORDINATES`` minima of its five-word shingles. Each document, equal shingle sets once, is posted
 under its coordinate-value pairs. Pairs above the threshold agree in at least ``MATCHES`` coordinates (``STAGE_MATCHES`` for the
 pipeline's threshold) but for a chance of about 2e-7. Hence two filters that lose none of them: documents with fewer shared values are left out, and each is
-posted under its prefix alone, the rarest ``COORDINATES - MATCHES + 1`` of its values; longer lists are skipped. Posting
-lists are merged in blocks: agreeing coordinates are counted there, and of the pairs that reach the threshold only what they
-connect leaves the task, a row a document, so a group of copies gives as many rows as it has documents and not the square.
+posted under its prefix alone, the rarest ``COORDINATES - MATCHES + 1`` of its values; longer lists are skipped.
 
-What is thus connected is checked on full shingle sets, again in blocks, and confirmed links make the components.
+Links are confirmed on full shingle sets, in two steps. First each document is held against one other alone, the least that shares a
+posting list with it: a row a document, which settles most members of a large cluster. Then posting lists are merged:
+agreeing coordinates are counted for pairs that the first step has not connected, in blocks of bounded size, and what they
+connect leaves the task as a star, a row a document. Within these groups, again only pairs not connected yet are compared. A list or
+group is replicated by its unsettled members, not by its size.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def _sign(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
                     keys[live, k] = tv.mix(np.minimum.reduceat(g * a, at[live]) + np.uint64(k))
                 sums[0, live] = np.add.reduceat(tv.mix(g), at[live])
                 sums[1, live] = np.add.reduceat(tv.mix(g ^ _A[0]), at[live])
-        yield batch(id=b["id"].slice(c.row, c.n), n=n, x=signed(sums[0]), y=signed(sums[1]), sketch=pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), c.n, [None, pa.py_buffer(keys.astype(np.uint8).tobytes())]).cast(pa.binary()), keys=pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), COORDINATES).cast(pa.list_(pa.int64())))
+        yield batch(id=b["id"].slice(c.row, c.n), row=b["row"].slice(c.row, c.n), n=n, x=signed(sums[0]), y=signed(sums[1]), sketch=pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), c.n, [None, pa.py_buffer(keys.astype(np.uint8).tobytes())]).cast(pa.binary()), keys=pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), COORDINATES).cast(pa.list_(pa.int64())))
 
 
 class Forest:
@@ -85,21 +87,22 @@ class Forest:
 
 
 def _merge_lists(t: pa.Table, begin: np.ndarray, matches: int) -> Iterator[pa.RecordBatch]:
-    """What the pairs with enough agreeing coordinates connect, as a star around the least id; the lists are small enough to compare whole."""
-    ids, side, crossed = t["id"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False)
+    """What the pairs of two labels with enough agreeing coordinates connect, as a star around the least id."""
+    ids, label, side, crossed = t["id"].to_numpy(), t["label"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False)
     sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
     size = np.diff(begin)
     two = begin[:-1][size == 2]  # most lists: one comparison each
-    ok = ((sketch[two] == sketch[two + 1]).sum(1) >= matches) & ~(crossed[two] & (side[two] == side[two + 1])) if len(two) else np.zeros(0, bool)
+    ok = ((sketch[two] == sketch[two + 1]).sum(1) >= matches) & (label[two] != label[two + 1]) & ~(crossed[two] & (side[two] == side[two + 1])) if len(two) else np.zeros(0, bool)
     a, b = [ids[two[ok] + 1]], [ids[two[ok]]]
     for g in np.flatnonzero(size > 2):
         lo, hi = int(begin[g]), int(begin[g + 1])
-        forest, own = Forest(hi - lo), sketch[lo:hi]
+        forest, own, of = Forest(hi - lo), sketch[lo:hi], label[lo:hi]
         for i in range(hi - lo - 1):
-            j = np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= matches) + i + 1
+            j = np.flatnonzero((of[i + 1 :] != of[i]) & ((own[i + 1 :] == own[i]).sum(1) >= matches)) + i + 1
             if crossed[lo]:
                 j = j[side[lo + j] != side[lo + i]]
-            forest.add(i, j)
+            if len(j):
+                forest.add(i, j)
         member, root = forest.stars()
         a.append(ids[lo + member])
         b.append(ids[lo + root])
@@ -109,14 +112,26 @@ def _merge_lists(t: pa.Table, begin: np.ndarray, matches: int) -> Iterator[pa.Re
 def _own_sets(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for c in tv.chunks(b.column("text")):
         g, at = shingle_sets(c)
-        part, raw = b.slice(c.row, c.n), g.tobytes()
-        yield batch(id=part["id"], component=part["component"], blocks=part["blocks"], shingles=pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
+        raw = g.tobytes()
+        yield batch(id=b["id"].slice(c.row, c.n), shingles=pa.array([raw[8 * s : 8 * e] for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
+
+
+def _pairs(b: pa.RecordBatch, threshold: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b, x, y) with the shingles x of a and y of b those that are linked."""
+    ok = []
+    for x, y in zip(b["x"], b["y"], strict=True):
+        x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        few, many = (x, y) if len(x) < len(y) else (y, x)  # both sorted
+        at = np.minimum(np.searchsorted(many, few), max(len(many) - 1, 0))
+        common = int((many[at] == few).sum()) if len(many) else 0
+        ok.append(100 * common >= threshold * (len(x) + len(y) - common))
+    yield batch(a=b["a"], b=b["b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _confirm(t: pa.Table, begin: np.ndarray, threshold: int) -> Iterator[pa.RecordBatch]:
-    """What the exact links within each group connect, as a star around the least id."""
-    ids, side, crossed, held = t["id"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False), t["shingles"].to_pylist()
-    out_a, out_b = [], []
+    """What the exact links of two labels within each group connect, as a star around the least id."""
+    ids, label, side, crossed, held = t["id"].to_numpy(), t["label"].to_numpy(), t["side"].to_numpy(), t["crossed"].to_numpy(zero_copy_only=False), t["shingles"].to_pylist()
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
         if hi - lo < 2:
             continue
@@ -124,6 +139,7 @@ def _confirm(t: pa.Table, begin: np.ndarray, threshold: int) -> Iterator[pa.Reco
         n = np.array([len(s) for s in sets])
         common = intersections(sets)
         link = 100 * common >= threshold * (n[:, None] + n[None, :] - common)
+        link &= label[lo:hi, None] != label[None, lo:hi]
         if crossed[lo]:
             link &= side[lo:hi, None] != side[None, lo:hi]
         forest = Forest(hi - lo)
@@ -132,7 +148,7 @@ def _confirm(t: pa.Table, begin: np.ndarray, threshold: int) -> Iterator[pa.Reco
         member, root = forest.stars()
         out_a.append(ids[lo + member])
         out_b.append(ids[lo + root])
-    yield batch(a=np.concatenate([np.zeros(0, np.int64), *out_a]), b=np.concatenate([np.zeros(0, np.int64), *out_b]))
+    yield batch(a=np.concatenate(out_a), b=np.concatenate(out_b))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -157,43 +173,79 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _in_blocks(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Deal rows (key, id, blocks, columns) so that any two of a key meet in a group g: one group if blocks is 1, else one for each two blocks.
+def _in_blocks(rows: DataFrame, key: str, most: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
+    """Deal rows (key, id, label, ...) so that any two of a key with different labels meet in a group g.
 
-    crossed groups hold two blocks (side), of which only pairs across are new.
+    A key with one label has nothing to compare and is left out. The most frequent label of a key and its other rows are cut into blocks of
+    about ``most`` rows (and ``heaviest`` weight); two blocks of the former never meet, so its rows are replicated by the number of
+    the other rows' blocks alone. crossed groups hold two blocks (side), of which only pairs across are new.
     """
-    own = F.pmod(F.xxhash64("id"), "blocks")
-    dealt = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    w = F.col(weight) if weight else F.lit(0)
+    per = rows.groupBy(key, "label").agg(F.count("*").alias("n"), F.sum(w).alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / most, w / heaviest)).cast("long")
+    top = F.max(F.struct("n", "label", "w"))
+    keys = per.groupBy(key).agg(top.alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("labels")).filter("labels > 1").withColumn("all", blocks(F.col("n"), F.col("w")))
+    keys = keys.select(
+        key, F.col("top.label").alias("main"), F.when(F.col("all") > 1, blocks(F.col("top.n"), F.col("top.w"))).otherwise(0).cast("long").alias("of_main"),
+        F.when(F.col("all") > 1, blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"))).otherwise(1).cast("long").alias("of_rest"),
+    )
+    dealt = rows.join(dealt_anew(keys, key), key)
+    settled = (F.col("label") == F.col("main")) & (F.col("of_main") > 0)
+    zero = F.lit(0).cast("long")
+    side = F.when(settled, F.pmod(F.xxhash64("id"), "of_main")).otherwise(F.col("of_main") + F.pmod(F.xxhash64("id"), "of_rest"))
+    dealt = dealt.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.when(settled, F.col("of_main")).otherwise(zero), F.col("of_main") + F.col("of_rest") - 1)))
     lo, hi = F.least("side", "other"), F.greatest("side", "other")
-    return dealt.select(F.xxhash64(key, lo, hi).alias("g"), "id", "side", (lo != hi).alias("crossed"), *columns).repartition("g").sortWithinPartitions("g", "id")
+    rest = [c for c in rows.columns if c not in (key, "id", "label")]
+    return dealt.select(F.xxhash64(key, lo, hi).alias("g"), "id", "label", "side", (lo != hi).alias("crossed"), *rest)
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("g").sortWithinPartitions("g", "id")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, matches: int = MATCHES) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored).
+    """(id, row, n_shingles, component_id, first) for every row of docs (doc_id, text; other columns are ignored).
 
-    Links are exact: 100 * intersection >= threshold * union of the distinct shingles; component_id is the least id that links reach.
+    Links are exact: 100 * intersection >= threshold * union of the distinct shingles; component_id is the least id that links reach,
+    first tells the row that names it (of rows with that id, the one with the least hash; equal rows alike).
     Pairs that agree in fewer than matches coordinates are not compared, so a lower threshold needs fewer matches.
     A text without words has no shingles and no links; one of fewer than five words is one shingle. A null doc_id is
-    below all others; rows with one doc_id are one document.
+    below all others. Rows with one doc_id but different texts are documents of their own.
     """
     texts = anchored.own_texts(docs)
-    signed_ = stage(texts.mapInArrow(each(_sign), "id long, n long, x long, y long, sketch binary, keys array<long>"), "signatures")
-    classes = stage(signed_.filter("n > 0").groupBy("n", "x", "y").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "classes")
+    signed_ = stage(texts.mapInArrow(each(_sign), "id long, row long, n long, x long, y long, sketch binary, keys array<long>").withColumn("class", F.when(F.col("n") > 0, F.xxhash64("n", "x", "y"))), "signatures")
+    classes = stage(signed_.filter("n > 0").groupBy("class").agg(F.min("row").alias("row"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("n").alias("n")).withColumnRenamed("class", "id"), "classes")
     postings = classes.select("id", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     held = postings.join(dealt_anew(lists, "key"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("held")).filter(F.size("held") >= matches)
     prefix = F.slice("held", 1, F.size("held") - (matches - 1))  # values that no other has come before these
-    posted = held.select("id", F.explode(prefix).alias("p")).select("id", F.col("p.key").alias("key"), F.ceil(F.col("p.c") / LIST_BLOCK).cast("long").alias("blocks")).join(classes.select("id", "sketch"), "id")
-    near = _in_blocks(posted, "key", "sketch").mapInArrow(whole_groups("g", partial(_merge_lists, matches=matches)), "a long, b long")
+    posted = stage(held.select("id", F.explode(F.transform(prefix, lambda p: p["key"])).alias("key")), "posted")
+    sets = stage(texts.join(classes.select(F.col("id").alias("class"), "row").join(posted.select(F.col("id").alias("class")).distinct(), "class"), "row").select(F.col("class").alias("id"), "text").mapInArrow(each(_own_sets), "id long, shingles binary"), "sets")
+
+    # each document and the least one that it shares a list with
+    least = posted.groupBy("key").agg(F.min("id").alias("centre"))
+    star = posted.join(dealt_anew(least, "key"), "key").groupBy("id").agg(F.min("centre").alias("centre")).filter("id <> centre")
+    star = star.join(sets, "id").select(F.col("id").alias("a"), F.col("centre").alias("b"), F.col("shingles").alias("x"))
+    star = star.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    sure = stage(star.mapInArrow(each(partial(_pairs, threshold=threshold)), "a long, b long"), "stars")
+    labels = stage(components(sure).withColumnRenamed("v", "id").withColumnRenamed("component", "label"), "labels")
+    labelled = lambda df: df.join(dealt_anew(labels, "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    # pairs that the stars have not connected
+    dealt = _in_blocks(labelled(posted), "key", LIST_BLOCK).join(classes.select("id", "sketch"), "id")
+    near = _met(dealt).mapInArrow(whole_groups("g", partial(_merge_lists, matches=matches)), "a long, b long")
     groups = components(near)
-    members = groups.unionByName(groups.select(F.col("component").alias("v"), "component").distinct())
-    sizes = members.join(classes.select(F.col("id").alias("v"), "n"), "v").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / SET_BLOCK, F.sum("n") / SET_SHINGLES)).cast("long").alias("blocks"))
-    wanted = members.join(sizes, "component").select(F.col("v").alias("id"), "component", "blocks")
-    sets = texts.join(wanted, "id").select("id", "component", "blocks", "text").mapInArrow(each(_own_sets), "id long, component long, blocks long, shingles binary")
-    links = _in_blocks(sets, "component", "shingles").mapInArrow(whole_groups("g", partial(_confirm, threshold=threshold)), "a long, b long")
-    linked = components(links).select(F.col("v").alias("first"), "component")
-    named = signed_.drop("keys", "sketch").join(classes.select("n", "x", "y", F.col("id").alias("first")), ["n", "x", "y"], "left").join(linked, "first", "left")
-    return named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "first", "id").alias("component_id"))
+    members = groups.unionByName(groups.select(F.col("component").alias("v"), "component").distinct()).withColumnRenamed("v", "id")
+    dealt = _in_blocks(labelled(members.join(classes.select("id", "n"), "id")), "component", SET_BLOCK, "n", SET_SHINGLES).drop("n")
+    links = _met(dealt.join(sets, "id")).mapInArrow(whole_groups("g", partial(_confirm, threshold=threshold)), "a long, b long")
+    linked = components(sure.unionByName(links))
+
+    own = signed_.filter("n > 0").groupBy("class").agg(F.min(F.struct("id", "row")).alias("least"))
+    own = own.join(linked.withColumnRenamed("v", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    names = own.groupBy("component").agg(F.min("least").alias("least"))
+    named = own.select("class", "component").join(dealt_anew(names, "component"), "component").select("class", "least")
+    out = signed_.select("id", "row", "n", "class").join(dealt_anew(named, "class"), "class", "left")
+    return out.select("id", "row", F.col("n").alias("n_shingles"), F.coalesce("least.id", "id").alias("component_id"), F.coalesce(F.col("least.row") == F.col("row"), F.lit(True)).alias("first"))
 
 
 def op6_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,9 +255,9 @@ def op6_nearduplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, linked from 0.8 on, the document with the least doc_id (one row of it), with its columns."""
-    kept = near_duplicates(docs, STAGE_THRESHOLD, STAGE_MATCHES).filter(F.col("id") == F.col("component_id")).select("id").distinct()
-    keyed = docs.withColumn("_id", anchored.document_key())
-    return keyed.join(kept.withColumnRenamed("id", "_id"), "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    kept = near_duplicates(docs, STAGE_THRESHOLD, STAGE_MATCHES).filter("first").select("row").distinct()
+    whole = docs.select(F.struct("*").alias("document"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"))
+    return whole.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("document.*")
 
 
 queries = {"op6_nearduplicates": op6_nearduplicates}
