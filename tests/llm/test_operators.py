@@ -1,9 +1,11 @@
 """Every operator against a brute-force version, on texts with nulls, empty and long ones, copies, ties and clashing columns."""
 
 import collections
+import decimal
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -89,6 +91,19 @@ def test_rolling_hashes_depend_on_content_alone():
     assert textvec.sliding_min(np.array([5, 3, 4, 1, 9], np.uint64), 3).tolist() == [3, 1, 1]
 
 
+def test_hashes_tell_thue_morse_words_apart():
+    """Such words collide under any polynomial modulo a power of two."""
+    word = b"a"
+    for _ in range(12):
+        word += word.translate(bytes.maketrans(b"ab", b"ba"))
+    other = word.translate(bytes.maketrans(b"ab", b"ba"))
+    c = next(textvec.chunks(pa.array([word.decode(), other.decode(), f"{word.decode()}\n{other.decode()}"])))
+    assert len(set(textvec.word_hashes(c.data, textvec.words(c))[:2].tolist())) == 2
+    v = textvec.byte_values(c.data)
+    assert textvec.Rolling(v).of(np.array([0, 4096]), np.array([4096, 8192])).tolist() != [textvec.Rolling(v).of(np.array([0]), np.array([4096]))[0]] * 2
+    assert quality.measure(c)["n_dup_lines"].tolist() == [0, 0, 0]
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)] + [(7, 7)]
@@ -115,7 +130,7 @@ def brute_base(x):
     for k, p in patterns.items():
         for m in re.finditer(p, x):
             digits = re.sub("[^0-9]", "", m[0])
-            if {"email": True, "ip": k != "ip" or all(int(q) <= 255 for q in m[0].split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[k]:
+            if {"email": True, "ip": k != "ip" or all(decimal.Decimal(q) <= 255 for q in m[0].split(".")), "card": 12 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[k]:
                 out.append((k, m.start(), m.end()))
     return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
 
@@ -123,7 +138,7 @@ def brute_base(x):
 def test_pii_base_equals_the_patterns():
     rng = random.Random(2)
     cases = ["".join(rng.choice("0123456789..@@+-- ()ab1%é") for _ in range(rng.randint(0, 70))) for _ in range(20000)]
-    for x in cases + [r[1] or "" for r in ROWS] + ["1" * 5000, "9." * 3000, "@" * 500, "+1" * 400]:
+    for x in cases + [r[1] or "" for r in ROWS] + ["1" * 5000, "9." * 3000, "@" * 500, "+1" * 400, "0" * 5000 + ".1.1.1", "0" * 5000 + "1.1.1.1", "0.0.0.0"]:
         assert [s for s in pii.find(x) if s[0] in pii.KINDS[: pii.BASE]] == brute_base(x)
 
 
@@ -136,6 +151,18 @@ def test_pii_added_spans_and_redaction():
     assert not pii.find("He met token gestures of account and passwords; it is 5 to 10.")
 
 
+def test_pii_reads_many_cues_in_proportion():
+    def took(n):
+        at = time.perf_counter()
+        for text in ("token=" + "tokentoken=" * n, ("token" + " " * 300) * (n // 20), "token='" + "token=" * n, "://a:b" * n):
+            pii.find(text)
+        return time.perf_counter() - at
+
+    took(100)
+    assert took(20000) < 12 * max(took(5000), 0.01)  # four times as long
+    assert [k for k, _, _ in pii.find("token=" + "tokentoken=" * 20)] == ["secret"]
+
+
 def test_pii_query_rows(docs, empty):
     got = pii.detect(docs).collect()
     assert len(got) == len(ROWS)
@@ -325,9 +352,38 @@ def test_decontamination_equals_brute_force(spark, docs, empty):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha x x x x x x beta"), (4, None)], "doc_id long, text string")
-    got = decontamination.near(d, spark.createDataFrame([(1, "alpha beta")], "item_id long, text string"), 3)
-    assert sorted((r.doc_id, r.start, r["last"]) for r in got.collect()) == [(1, 0, 3), (2, 0, 1)]
+    d = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha x x x x x x x x x x beta"), (4, None), (5, "beta x alpha x beta")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta"), (2, "nowhere alpha")], "item_id long, text string")
+    _, near, texts = decontamination.search(d, items)
+    ids = {r.row: r.id for r in texts.collect()}
+    assert sorted((ids[r.row], r.start, r["last"]) for r in near.collect()) == [(1, 0, 3), (2, 0, 1), (5, 0, 2), (5, 2, 4)]
+    assert {r.id: r.near for r in decontamination.find(d, items).collect()} == {1: ["1"], 2: ["1"], 3: [], 4: [], 5: ["1"]}
+
+
+def test_decontamination_lower_cases_a_to_z_alone(spark):
+    text = "ΟΣ'ΑΒ ΛΟΓΟΣ'ΕΝ ΤΟΣ'ΑΡ ΚΑΣ'ΟΝ ΜΕΣ'ΑΛ"
+    d = spark.createDataFrame([(1, text), (2, text.replace("'", " ")), (3, text.lower()), (4, "xΣ " + text)], "doc_id long, text string")
+    got = {r.id: [(m.start, m["size"]) for m in r.matches] for r in decontamination.find(d, spark.createDataFrame([(1, text)], "item_id long, text string")).collect()}
+    assert got == {1: [(0, 10)], 2: [(0, 10)], 3: [], 4: [(1, 10)]}
+
+
+# --- one doc_id with two texts
+
+
+def test_rows_with_one_id_and_other_texts_are_apart(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(7))
+    a, b, c = (" ".join(word() for _ in range(90)) for _ in range(3))
+    d = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (4, b + " " + word())], "doc_id long, text string")
+    removed = lambda f: sorted((r.id, r.n_removed) for r in f(d).collect())
+    assert removed(substrings.remove_repeats) == [(1, 0), (2, 0), (2, 90), (3, 0), (3, 0), (4, 90)]
+    n = len(a)
+    assert removed(suffixes.remove_repeats) == [(1, n), (2, n), (2, n), (3, n), (3, n), (4, n)]
+    near = sorted((r.id, r.component_id, r.first) for r in nearduplicates.near_duplicates(d).collect())
+    assert near == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (4, 2, False)]
+    assert sorted((r.doc_id, r.text) for r in nearduplicates.one_of_each(spark, d, "").collect()) == [(1, a), (2, b), (3, c)]
+    found = decontamination.find(d, spark.createDataFrame([(1, b)], "item_id long, text string"))
+    assert sorted((r.id, len(r.matches)) for r in found.collect()) == [(1, 0), (2, 0), (2, 81), (3, 0), (3, 0), (4, 81)]
 
 
 # --- op6
@@ -363,6 +419,24 @@ def test_near_duplicates_equal_brute_force(docs, empty, monkeypatch):
     assert nearduplicates.near_duplicates(empty).count() == 0
 
 
+def test_a_large_cluster_is_compared_in_proportion(spark, monkeypatch):
+    """Near copies of one text, each with words of its own: rows dealt to comparisons stay in proportion to the cluster."""
+    n, dealt = 6000, []
+    base = F.transform(F.sequence(F.lit(0), F.lit(299)), lambda i: F.concat(F.lit("w"), i))
+    changed = F.transform(base, lambda w, i: F.when(i == F.pmod(F.xxhash64("doc_id"), F.lit(300)), F.concat(F.lit("x"), "doc_id")).otherwise(w))
+    d = spark.range(n).withColumnRenamed("id", "doc_id").select("doc_id", F.array_join(changed, " ").alias("text"))
+    plain = nearduplicates._in_blocks
+
+    def counted(rows, *a):
+        out = plain(rows, *a)
+        dealt.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(nearduplicates, "_in_blocks", counted)
+    assert {r[0] for r in nearduplicates.near_duplicates(d).select("component_id").distinct().collect()} == {0}
+    assert all(after <= 2 * before for before, after in dealt) and dealt[1][0] < n, dealt
+
+
 def test_stage_links_from_80_percent_on(spark):
     w = [f"w{i}" for i in range(104)]  # 100 shingles; a word changed in the middle costs 5, one at the end 1
     changed = lambda *at: " ".join("changed" if i in at else x for i, x in enumerate(w))

@@ -31,7 +31,8 @@ def test_stages(spark, folder):
         out[name] = docs.collect()
     good, single, clean, scrubbed = (out[n] for n in names[:-1])
     assert all(len((r.text or "").split()) >= 20 or r.doc_id for r in good) and len(good) < len(ROWS)
-    comp = {r.id: r.component_id for r in nearduplicates.near_duplicates(spark.read.parquet(f"{folder}/0.parquet")).collect()}
+    near = nearduplicates.near_duplicates(spark.read.parquet(f"{folder}/0.parquet"), nearduplicates.STAGE_THRESHOLD, nearduplicates.STAGE_MATCHES)
+    comp = {r.id: r.component_id for r in near.collect()}
     assert len(single) == len(set(comp.values()))
     assert 0 < len(clean) < len(single) and {r.doc_id for r in clean} <= {r.doc_id for r in single}
     assert [r.text for r in sorted(scrubbed, key=str)] == [pii.redact(r.text) for r in sorted(clean, key=str)] or {r.text for r in scrubbed} == {pii.redact(r.text) for r in clean}
