@@ -71,6 +71,21 @@ class SentenceGraph:
                     queue.append((y, n + 1))
         return None
 
+    def within(self, a: int, limit: int) -> dict[int, list[str]]:
+        """``path`` from a to every other token at most limit edges away, from one search."""
+        found: dict[int, list[str]] = {a: []}
+        queue = deque([a])
+        while queue:
+            x = queue.popleft()
+            if len(found[x]) < limit:
+                steps = [(y, label) for label, y in self.out.get(x, ())] + [(y, label + "^") for label, y in self.into.get(x, ())]
+                for y, label in sorted(steps):
+                    if y not in found and y != 0:
+                        found[y] = [*found[x], label]
+                        queue.append(y)
+        del found[a]
+        return found
+
     def distance(self, a: int, b: int) -> int:
         p = self.path(a, b)
         return FAR if p is None else len(p)

@@ -21,12 +21,16 @@ def count_of(text: Column, part: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))
 
 
-#: Substitutions of the quote normaliser, applied in order. Doubled and typographic quotes become plain ones.
-QUOTE_RULES = (("``|''", '"'), ("[“”]", '"'), ("[‘’]", "'"), (r'(^|[\s(\[])"\s+', r'$1"'), (r'\s+"([\s.,;:!?)\]]|$)', r'"$1'))
+#: Substitutions of the quote normaliser, applied in order: opening quotes by what stands before them, closing ones by what follows.
+QUOTE_RULES = (
+    (' "', " ``"), ('(?md)^"', "``"), (r'\("', "(``"), ('\t"', "\t``"), ('(?md)"$', "''"), ('" ', "'' "), (r'"\)', "'')"), ('",', "'',"),
+)
 
-#: Opt-in clean-up of reports: footnote marks, dash runs, question and answer labels, lines of capitals, speaker lines, stuck titles.
+#: Opt-in clean-up of reports, applied in order: footnotes, strings of dashes, ellipses, labels of questions and answers,
+#: line ends with dashes, lines that end in capitals, lines with a speaker's name, titles stuck to the end of a sentence.
 CLEANUP_RULES = (
-    (r"\[[0-9]+\]", ""), (r"-{3,}", "--"), (r"(?m)^(Q|A)[.:] +", ""), (r"(?m)^[A-Z][A-Z ]+$", ""), (r"(?m)^[A-Z][A-Za-z]+ [A-Z][A-Za-z]+: +", ""), (r"\b(Mr|Mrs|Ms|Dr)\.([A-Z])", "$1. $2"),
+    (r"\\[0-9][0-9]*\\", " "), (r"[-_.]{5,}", " "), (r" \. \. \.", " ... "), (r"Q\.[0-9][0-9]*(\.[a-z])?\.", "."), (r"A\.[0-9][0-9]*\.", " "), (r"(?md)([A-Za-z0-9]-{2,4})$", "$1."),
+    (r"(?md)([A-Z][A-Z,. ]{9,})$", "\n$1."), (r"(?md)^([A-Z][A-Za-z. ]{1,55}):$", "$1."), (r"(?md)([A-Za-z]{3,})\.(([A-Z][A-Za-z]*)( [A-Z][A-Za-z]*){1,8}\??)$", "$1.\n\n$2."),
 )
 
 
@@ -38,8 +42,8 @@ def rewrite(text: str | Column, rules) -> Column:
 
 
 def before_appendix(text: str | Column) -> Column:
-    """The text up to a line that starts with APPENDIX."""
-    return F.regexp_replace(text, r"(?ms)^APPENDIX.*\z", "")
+    """The text up to the line with the spaced-out word APPENDIX."""
+    return F.regexp_replace(text, r"(?md)^.*A P P E N D I X(?s:.*)", "")
 
 
 def shift_by_quotes(text: Column, index: Column) -> Column:

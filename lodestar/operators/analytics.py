@@ -18,12 +18,11 @@ def count_by(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def remap(column: str | Column, mapping: Mapping[str, str], prefix: str = "") -> Column:
-    """Rename some values; a prefix is cut off first."""
+    """Rename some values. A value with the prefix loses it and is not renamed otherwise."""
     c = F.col(column) if isinstance(column, str) else column
-    if prefix:
-        c = F.regexp_replace(c, f"^{prefix}", "")
     flat = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.coalesce(F.create_map(*flat)[c], c) if flat else c
+    renamed = F.coalesce(F.create_map(*flat)[c], c) if flat else c
+    return F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(renamed) if prefix else renamed
 
 
 def type_sets(rows: DataFrame, span: Sequence[str], type_column: str, exclude: Sequence[str] = ()) -> DataFrame:

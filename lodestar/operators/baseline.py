@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lodestar.functions.graph import FAR, SentenceGraph, of_row
+from lodestar.functions.graph import FAR, of_row
 
 RADIUS = 2
 #: Tags of tokens that are no argument heads. By default commas and full stops are not among them.
@@ -23,18 +23,26 @@ def lexicon(instances: DataFrame, sentences: DataFrame) -> DataFrame:
     return r.filter(F.size("connective") > 0).select(F.transform(F.array_sort("connective"), lemma).alias("lemmas")).distinct()
 
 
-def _connective(g: SentenceGraph, places: list[list[int]], cause: int, effect: int, radius: int) -> list[int] | None:
-    """For each word its occurrence nearest to either argument; rejected if the other argument is beyond the radius."""
+def _connective(reach: dict[int, dict[int, list[str]]], places: list[list[int]], cause: int, effect: int) -> list[int] | None:
+    """For each word its occurrence nearest to either argument; rejected if the other argument is beyond the radius.
+
+    reach: for each occurrence the tokens within the radius and the paths to them.
+    """
     chosen = []
     for at in places:
-        c, e = g.nearest(cause, at), g.nearest(effect, at)
+        c, e = _nearest(reach, at, cause), _nearest(reach, at, effect)
         best = e[0] if e[1] < c[1] else c[0]
-        if max(g.distance(cause, best), g.distance(effect, best)) > radius:
+        if cause not in reach[best] or effect not in reach[best]:
             return None
         chosen.append(best)
     return chosen if chosen == sorted(set(chosen)) else None
 
 
+def _nearest(reach: dict[int, dict[int, list[str]]], at: Sequence[int], token: int) -> tuple[int, int]:
+    """The occurrence closest to a token, the first of equals, and its distance (FAR beyond the radius)."""
+    return min(((o, len(reach[o][token]) if token in reach[o] else FAR) for o in at), key=lambda x: x[1])
+
+
 def pairs(sentences: DataFrame, lemmas: Sequence[Sequence[str]], radius: int = RADIUS, stop_punctuation: bool = False) -> DataFrame:
     """(doc_id, sent_id, cause, effect, connective, lemmas, cause_path, effect_path) for all ordered pairs of content tokens near a connective.
 
@@ -50,6 +58,7 @@ def pairs(sentences: DataFrame, lemmas: Sequence[Sequence[str]], radius: int = R
                 g = of_row(edges)
                 where: dict[str, list[int]] = {}
                 content = []
+                reach: dict[int, dict[int, list[str]]] = {}
                 for t in tokens:
                     if t["idx"] and t["idx"] in g.depth:
                         where.setdefault(t["lemma"], []).append(int(t["idx"]))
@@ -58,13 +67,16 @@ def pairs(sentences: DataFrame, lemmas: Sequence[Sequence[str]], radius: int = R
                 for entry in entries:
                     if not all(x in where for x in entry):
                         continue
-                    near = [x for x in content if min(g.distance(x, y) for y in where[entry[0]]) <= radius]
+                    for y in {y for word in entry for y in where[word]} - set(reach):
+                        reach[y] = {y: [], **g.within(y, radius)}
+                    around = {x for y in where[entry[0]] for x in reach[y]}
+                    near = [x for x in content if x in around]
                     for c in near:
                         for e in near:
-                            conn = _connective(g, [where[x] for x in entry], c, e, radius) if c != e else None
+                            conn = _connective(reach, [where[x] for x in entry], c, e) if c != e else None
                             if conn is None or c in conn or e in conn:
                                 continue
-                            paths = [g.path(g.nearest(a, conn)[0], a, radius) for a in (c, e)]
+                            paths = [reach[_nearest(reach, conn, a)[0]].get(a) for a in (c, e)]
                             rows.append((d, s, c, e, conn, " ".join(entry), *["/".join(p) if p is not None else None for p in paths]))
             yield pd.DataFrame(rows, columns=["doc_id", "sent_id", "cause", "effect", "connective", *KEY])
 

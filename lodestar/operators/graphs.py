@@ -28,8 +28,7 @@ def paths(sentences: DataFrame, radius: int) -> DataFrame:
             rows = []
             for d, s, e in zip(b["doc_id"], b["sent_id"], b["edges"], strict=True):
                 g = of_row(e)
-                nodes = sorted(set(g.depth) - {0})
-                rows += [(d, s, x, y, p) for x in nodes for y in nodes if x != y and (p := g.path(x, y, radius)) is not None]
+                rows += [(d, s, x, y, p) for x in sorted(set(g.depth) - {0}) for y, p in sorted(g.within(x, radius).items()) if y in g.depth]
             yield pd.DataFrame(rows, columns=["doc_id", "sent_id", "a", "b", "labels"])
 
     return sentences.select("doc_id", "sent_id", "edges").mapInPandas(run, "doc_id string, sent_id int, a int, b int, labels array<string>")

@@ -156,6 +156,11 @@ def by_ids(rows: DataFrame, ids: Sequence[str], given: bool) -> DataFrame:
     return rows.filter(hit if given else ~hit)
 
 
+def without_connectives(counts: DataFrame) -> DataFrame:
+    """Connective counts of a subset by ids mean nothing, as the other side's ids are others: they are null."""
+    return counts.withColumns({c: F.lit(None).cast("long") for c in ("c_tp", "c_fp", "c_fn")})
+
+
 def latex_row(values: Sequence[str | Column], digits: int = 3) -> Column:
     """Numbers as a row of a LaTeX table."""
     return F.concat(F.array_join(F.array(*[F.format_string(f"%.{digits}f", F.round(v, digits)) for v in values]), " & "), F.lit(r" \\"))

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.operators.analytics import remap
 from lodestar.operators.metrics import prf
 from lodestar.operators.patterns import SENT
 
-#: Connectives that are counted under another name; a leading ``be`` is cut off first.
-REMAPS = {"for too": "too for", "for to": "to", "reason be": "reason", "result of": "result", "so that": "so", "thank to": "thanks to"}
+#: Connectives that are counted under another name in agreement (a leading ``be`` is cut off first).
+REMAPS = {
+    "for too to": "too for to", "for too": "too for", "that now": "now that", "to for": "for to", "give": "given", "citizen-sparked": "spark", "encouraging": "encourage", "have to for to": "for to have to", "thank to": "thanks to",
+    "on ground of": "on grounds of", "precipitating": "precipitate", "to need": "need to", "to need to": "need to to", "to take": "take to", "reason be": "reason", "result of": "result",
+}
+#: The same for counts over a corpus, in lower case.
+CORPUS_REMAPS = {
+    "for too to": "too for to", "for too": "too for", "that now": "now that", "to for": "for to", "give": "given", "citizen-sparked": "spark", "encouraging": "encourage", "have to for to": "for to have to", "thank to": "thanks to",
+    "on grounds of": "on ground of", "precipitating": "precipitate", "to need": "need to", "to need to": "need to to", "to take": "take to", "HELPS": "help", "helps": "help", "on grounds that": "on ground that",
+}
+#: Names of grammatical categories.
+COORDINATING, SUBORDINATING = "Conjunctive (coordinating)", "Conjunctive (subordinating)"
 
 
 def token(i: Column) -> Column:
@@ -74,26 +86,31 @@ def category() -> Column:
     first = token(F.get(span, F.lit(0)))
     into = F.get(F.transform(F.filter("edges", lambda e: e["dep"] == F.get(span, F.lit(0))), lambda e: e["label"]), F.lit(0))
     by_tag = lambda t, otherwise: (
-        F.when(t == "CC", "Coordinating").when(t.isin("IN", "TO"), "Prepositional").when((t == "MD") | t.startswith("VB"), "Verbal").when(t.startswith("JJ"), "Adjectival")
+        F.when(t == "CC", COORDINATING).when(t.isin("IN", "TO"), "Prepositional").when((t == "MD") | t.startswith("VB"), "Verbal").when(t.startswith("JJ"), "Adjectival")
         .when(t.startswith("RB"), "Adverbial").when(t.startswith("NN"), "Nominal").otherwise(otherwise)
     )
     n = F.size("connective")
-    single = F.when((first["pos"] == "IN") & (into == "mark") & (first["lemma"] != "for"), "Subordinating").otherwise(by_tag(first["pos"], first["pos"]))
+    single = F.when((first["pos"] == "IN") & (into == "mark") & (first["lemma"] != "for"), SUBORDINATING).otherwise(by_tag(first["pos"], first["pos"]))
     two = F.array_join(lemmas, " ")
     odd = F.exists(span, lambda i: (i != F.col("connective_head")) & (~token(i)["pos"].isin("IN", "TO") | token(i)["lemma"].isin("as", "for")))
     gap = F.array_max("connective") - F.array_min("connective") + 1 > n
     tag = head["pos"]
     return (
-        F.when((n == 1) | (F.get(lemmas, F.lit(1)) == "then"), single).when(two == "because of", "Adverbial").when(two.isin("thank to", "now that"), "Subordinating").when(two == "out of", "Prepositional")
+        F.when((n == 1) | (F.get(lemmas, F.lit(1)) == "then"), single).when(two == "because of", "Adverbial").when(two.isin("thank to", "now that"), SUBORDINATING).when(two == "out of", "Prepositional")
         .when(F.array_contains(lemmas, "be") | odd, "Complex").when(tag.isin("IN", "TO") | tag.startswith("RB"), "Complex").when(tag.startswith("NN") & (n > 2), "Complex").when(tag.startswith("JJ") & gap, "Complex").otherwise(by_tag(tag, tag))
     )
 
 
 def remapped_connective(name: str | Column) -> Column:
-    """M11, C10."""
+    """The name under which agreement counts a connective."""
     return remap(name, REMAPS, "be ")
 
 
+def corpus_connective(name: str | Column) -> Column:
+    """The name under which a corpus count has it."""
+    return remap(F.lower(name), CORPUS_REMAPS)
+
+
 def incoming_labels(instances: DataFrame, sentences: DataFrame, both: bool = False) -> DataFrame:
     """Labels into the heads of arguments, counted; instances carry cause_head and effect_head."""
     r = instances.filter("cause_head is not null and effect_head is not null") if both else instances
@@ -101,11 +118,16 @@ def incoming_labels(instances: DataFrame, sentences: DataFrame, both: bool = Fal
     return h.select(F.explode(F.filter("edges", lambda e: e["dep"] == F.col("h"))).alias("e")).groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
 
 
-def differences(matches: DataFrame) -> DataFrame:
-    """What two annotators disagree on: gold only, predicted only, or pairs with other arguments, degree or type."""
+def differences(matches: DataFrame, properties: Sequence[str] = ("causal_type", "degree")) -> DataFrame:
+    """What two annotators disagree on, a row for each: gold only, predicted only, and of matched pairs the arguments and properties that differ.
+
+    The properties of overlapping relations are their types alone (``overlap_types``).
+    """
     g, p = F.col("gold"), F.col("predicted")
-    kind = F.when(p.isNull(), "gold only").when(g.isNull(), "predicted only").when(~g["cause"].eqNullSafe(p["cause"]), "cause").when(~g["effect"].eqNullSafe(p["effect"]), "effect")
-    return matches.select(*SENT, kind.alias("difference"), "gold", "predicted").filter("difference is not null")
+    has = set(matches.schema["gold"].dataType.names)
+    both = [F.when(~g[c].eqNullSafe(p[c]), c) for c in ("cause", "effect", *properties) if c in has]
+    kinds = F.when(p.isNull(), F.array(F.lit("gold only"))).when(g.isNull(), F.array(F.lit("predicted only"))).otherwise(F.array_compact(F.array(*both)))
+    return matches.select(*SENT, F.explode(kinds).alias("difference"), "gold", "predicted")
 
 
 def csv_rows(counts: DataFrame, *keys: str) -> DataFrame:

@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 
 def load() -> None:
     """Import the modules that register queries."""
-    from lodestar.plans import table_queries  # noqa: F401
+    from lodestar.plans import engine_queries, table_queries  # noqa: F401
 
 
 def query(name: str, sql: str | None = None):

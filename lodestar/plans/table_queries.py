@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lodestar.functions import text as tx
-from lodestar.operators import analytics, filtering, metrics, tokens as tk
+from lodestar.operators import analytics, filtering, metrics, relations, tokens as tk
 from lodestar.plans.catalog import query, read
 from lodestar.sources import sampling
 
@@ -124,13 +124,26 @@ def _(spark, d):
     return e.select("event_id", raw.cast("long").alias("raw"), tx.shift_by_quotes(F.col("props"), raw).cast("long").alias("corrected"))
 
 
-@query("s_cleanup", r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\[[0-9]+\]', '', 'g'), '-{3,}', '--', 'g'), '\b(Mr|Mrs|Ms|Dr)\.([A-Z])', '\1. \2', 'g')) AS md5 FROM documents
+def _rewritten(sql: str, rules) -> str:
+    """The same substitutions as nested calls in SQL."""
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\\n", "' || chr(10) || '").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+    for pattern, by in rules:
+        sql = f"regexp_replace({sql}, {quoted(pattern.replace('(?md)', '(?m)'))}, {quoted(by.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2'))}, 'g')"
+    return sql
+
+
+_REPORT = "'A.1. ' || text || ' - said \\12\\ \"so\", (\"no\") .....' || chr(10) || 'MR. SPEAKER, OF HOUSTON' || chr(10) || 'Mr. Smith:' || chr(10) || 'well. . . . Q.3.b. word.The Next Title' || chr(10) || 'x--' || chr(10) || '   A P P E N D I X' || chr(10) || text"
+
+
+@query("s_cleanup", f"""
+WITH r AS (SELECT doc_id, {_REPORT} AS t FROM documents), b AS (SELECT doc_id, substr(t, 1, strpos(t, '   A P P E N D I X') - 1) AS t FROM r)
+SELECT doc_id, md5({_rewritten("t", tx.CLEANUP_RULES)}) AS cleaned, md5({_rewritten("t", tx.QUOTE_RULES)}) AS quoted FROM b
 """)
 def _(spark, d):
-    """Rewriting rules that both engines' regular expressions support."""
-    rules = [r for r in tx.CLEANUP_RULES if not r[0].startswith("(?m)")]
-    return _docs(spark, d).select("doc_id", F.md5(tx.rewrite("text", rules)).alias("md5"))
+    """All rewriting rules on each text with the marks of a report around it, up to its appendix."""
+    t = F.expr(_REPORT.replace("chr(10)", "'\\n'").replace("\\12\\", "\\\\12\\\\"))
+    r = _docs(spark, d).select("doc_id", tx.before_appendix(t).alias("t"))
+    return r.select("doc_id", F.md5(tx.rewrite("t", tx.CLEANUP_RULES)).alias("cleaned"), F.md5(tx.rewrite("t", tx.QUOTE_RULES)).alias("quoted"))
 
 
 # --- connectives
@@ -142,15 +155,21 @@ def _(spark, d):
     return per.groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
 
 
-_REMAP = {"to": "toward", "for": "cause", "as": "when", "by": "through"}
+_PHRASES = "CASE word WHEN 'to' THEN 'Thank to' WHEN 'for' THEN 'for too' WHEN 'as' THEN 'be so' WHEN 'by' THEN 'reason be' WHEN 'in' THEN 'On grounds that' WHEN 'of' THEN 'result of' WHEN 'from' THEN 'on grounds of' ELSE word END"
+
+
+def _case(name: str, mapping: dict[str, str]) -> str:
+    return f"CASE {name} {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in mapping.items())} ELSE {name} END"
 
 
 @query("c_connective_remap", f"""
-WITH {_T} SELECT CASE word {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _REMAP.items())} ELSE word END AS connective, count(*) AS n FROM t WHERE word IN ({_LIST}) GROUP BY 1
+WITH {_T}, p AS (SELECT {_PHRASES} AS p FROM t WHERE word IN ({_LIST}))
+SELECT CASE WHEN starts_with(p, 'be ') THEN substr(p, 4) ELSE {_case('p', relations.REMAPS)} END AS agreement, {_case('lower(p)', relations.CORPUS_REMAPS)} AS corpus, count(*) AS n FROM p GROUP BY 1, 2
 """)
 def _(spark, d):
-    t = _tokens(spark, d).filter(F.col("word").isin(list(tk.CONNECTIVES)))
-    return analytics.count_by(t.select(analytics.remap("word", _REMAP, "be ").alias("connective")), "connective")
+    """Both tables of names, on connectives made phrases."""
+    p = _tokens(spark, d).filter(F.col("word").isin(list(tk.CONNECTIVES))).select(F.expr(_PHRASES).alias("p"))
+    return analytics.count_by(p.select(relations.remapped_connective("p").alias("agreement"), relations.corpus_connective("p").alias("corpus")), "agreement", "corpus")
 
 
 @query("p_lemma_prefilter", f"WITH {_W} SELECT doc_id FROM w WHERE list_has_all(w, ['from', 'the', 'to'])")
@@ -432,10 +451,10 @@ def _(spark, d):
     return _items(spark, d).select("item_id", F.size(F.array_intersect("v", "u")).cast("long").alias("shared"), metrics.partial_span("v", "u", 0.2).alias("partial"))
 
 
-@query("m_fold_assignment", "SELECT CAST(doc_id % 20 AS BIGINT) AS fold, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@query("m_fold_assignment", "SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 20 AS INTEGER) AS fold, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def _(spark, d):
-    """M19 with folds by arithmetic, which both engines share."""
-    return _docs(spark, d).groupBy((F.col("doc_id") % 20).alias("fold")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    """M19."""
+    return _docs(spark, d).groupBy(filtering.folds("doc_id").alias("fold")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("m_annotator_pairs", """

@@ -148,12 +148,12 @@ def standoff_lines(rows: DataFrame, sentences: DataFrame, texts: DataFrame, firs
     # the parts of an instance are rows, so that fragments are one expression; what is numbered from them is cut from that plan
     named = F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("indices")) for k, c in enumerate(_PARTS)])
     placed = rows.join(sentences.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"]).join(texts.select("doc_id", "text"), "doc_id")
-    parts = placed.select("doc_id", "inst_id", "kind", "causal_type", "degree", "overlap_types", "text", "tokens", F.inline(F.filter(named, lambda p: F.size(p["indices"]) > 0)))
+    parts = placed.select("doc_id", "sent_id", "inst_id", "kind", "causal_type", "degree", "overlap_types", "text", "tokens", F.inline(F.filter(named, lambda p: F.size(p["indices"]) > 0)))
     parts = parts.withColumn("frags", fragments("tokens", "text", "indices")).filter(F.size("frags") > 0)
     said = F.array_join(F.transform("frags", lambda f: F.substring(F.col("text"), f["start"] + 1, f["end"] - f["start"])), " ")
-    per = parts.withColumn("said", said).groupBy("doc_id", "inst_id", "kind", "causal_type", "degree", "overlap_types").agg(F.collect_list(F.struct("k", "frags", "said")).alias("parts"))
+    per = parts.withColumn("said", said).groupBy("doc_id", "sent_id", "inst_id", "kind", "causal_type", "degree", "overlap_types").agg(F.collect_list(F.struct("k", "frags", "said")).alias("parts"))
     order = F.transform(F.filter("parts", lambda p: p["k"] == 0), lambda p: p["frags"])
-    w = Window.partitionBy("doc_id").orderBy(F.get(order, F.lit(0)), "inst_id")
+    w = Window.partitionBy("doc_id").orderBy(F.get(order, F.lit(0)), "sent_id", "inst_id")
     label = F.when(F.col("kind") == "causal", F.coalesce("causal_type", F.lit("UNKNOWN"))).otherwise("NonCausal")
     r = cut(per.withColumn("n", F.row_number().over(w)).withColumn("label", label))
     uses = r.select("doc_id", "n", "label", F.inline("parts"))

@@ -220,5 +220,5 @@ def test_relations(sentences, gold):
     r = r.join(sentences.select("doc_id", "sent_id", "tokens", "edges"), ["doc_id", "sent_id"]).withColumn("overlap_types", F.array().cast("array<string>")).withColumn("causal_type", F.lit("Purpose"))
     got = {x.sent_id: x for x in r.select("sent_id", relations.lemma_string().alias("l"), relations.printed().alias("p"), relations.highlighted().alias("h"), relations.category().alias("c"), relations.multi_word().alias("m"), relations.not_contiguous().alias("n")).collect()}
     assert got[0].l == "cause" and got[0].p == "Purpose(caused, cause=Storms, effect=floods)" and got[0].h == "/Storms/ CAUSED *floods* ."
-    assert (got[0].c, got[3].c) == ("Verbal", "Subordinating") and not any(x.m or x.n for x in got.values())
+    assert (got[0].c, got[3].c) == ("Verbal", "Conjunctive (subordinating)") and not any(x.m or x.n for x in got.values())
     assert {x.label: x.n for x in relations.incoming_labels(r, sentences).collect()} == {"nsubj": 1, "dobj": 1, "nmod": 1, "nsubjpass": 1, "advcl": 1, "root": 1}

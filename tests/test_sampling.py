@@ -22,7 +22,9 @@ def test_xml_fields_and_reasons(spark):
 
 
 def test_quotes_and_cleanup(spark):
-    d = spark.createDataFrame([("``Hi'' he said “so” it’s [12] ---- Mr.Smith\nAPPENDIX A\nrest",)], "t string")
-    assert d.select(text.rewrite("t", text.QUOTE_RULES[:3])).first()[0].startswith("\"Hi\" he said \"so\" it's")
-    assert d.select(text.rewrite(text.before_appendix("t"), text.CLEANUP_RULES)).first()[0].rstrip().endswith("-- Mr. Smith")
-    assert d.select(text.shift_by_quotes(F.lit('a"b"c'), F.lit(4))).first()[0] == 2
+    one = lambda t, *c: spark.createDataFrame([(t,)], "t string").select(*c).first()[0]
+    assert one('"Hi" he said ("so"), "no",\n"yes"', text.rewrite("t", text.QUOTE_RULES)) == "``Hi'' he said (``so''), ``no'',\n``yes''"
+    report = "Well \\12\\ so.....then . . . ok\nQ.12. What? A.3. That\nI was--\nTHE HOUSE, OF\nMr. Smith:\nthe end.The Next One\n   A P P E N D I X\nrest"
+    want = "Well   so then ...  ok\n. What?   That\nI was--.\n\nTHE HOUSE, OF.\nMr. Smith.\nthe end.\n\nThe Next One.\n"
+    assert one(report, text.rewrite(text.before_appendix("t"), text.CLEANUP_RULES)) == want
+    assert one("x", text.shift_by_quotes(F.lit('a"b"c'), F.lit(4))) == 2
