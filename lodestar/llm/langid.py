@@ -23,6 +23,8 @@ from lodestar.llm import textvec as tv
 from lodestar.llm.common import batch, each, stage, table
 
 DIM, CENTROIDS, ROUNDS = 2048, 4, 12
+#: Texts whose counts are held at once, besides the bound of a chunk in bytes.
+ROWS = 512
 #: Bound of the sample that centroids are fitted on, texts a language in expectation.
 PER_LANGUAGE = 1000
 #: A text is rejected beyond this quantile of its centroid's training distances, times SLACK.
@@ -61,6 +63,13 @@ def counts(c: tv.Chunk) -> np.ndarray:
     return out.reshape(c.n, DIM)
 
 
+def _pieces(texts: pa.Array) -> Iterator[tv.Chunk]:
+    """Chunks of at most ROWS texts each: counts are as many as texts, however short these are."""
+    for at in range(0, len(texts), ROWS):
+        for c in tv.chunks(texts.slice(at, ROWS)):
+            yield c._replace(row=at + c.row)
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
@@ -79,7 +88,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen, rows = np.zeros(DIM, np.int64), 0
     for b in batches:
         sampled = np.asarray(b["sampled"].to_pylist(), bool)
-        for c in tv.chunks(b.column("text")):
+        for c in _pieces(b.column("text")):
             n = counts(c)
             seen += (n > 0).sum(0)
             rows += c.n
@@ -145,7 +154,7 @@ def _predict(m: Model) -> Callable:
     names = np.array([*m.languages, UNKNOWN], object)
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for c in tv.chunks(b.column("text")):
+        for c in _pieces(b.column("text")):
             lang, score, out = np.full(c.n, len(m.languages)), np.zeros(c.n), np.ones(c.n, bool)
             if len(m.of):
                 near = _unit(np.log1p(counts(c)).astype(np.float32) * m.idf) @ m.centroids.T

@@ -6,7 +6,8 @@ fixed windows. A document that a border cuts has one boundary record for each pi
 
 White space never lies within a token of this tokenizer, nor does the border of an ASCII letter and ASCII punctuation
 (but for the apostrophe), and it ignores case. So a text's ids are those of such pieces, in lower case, one after another;
-a worker encodes each distinct piece once while its cache holds it. Words with a bar, which special tokens have, stay as they are.
+a worker encodes each distinct piece once while its cache holds it. Words with a bar, which special tokens have, stay as they are, and so do those with a
+combining mark behind a capital: the tokenizer composes characters before it lower-cases them, and some pairs compose in lower case alone.
 """
 
 from __future__ import annotations
@@ -45,12 +46,14 @@ _TOKENS = "part int, doc_id long, n long, at long, wide boolean, ids binary"
 
 
 def split(c: tv.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (A-Z in lower case but in words with a bar), start and end of each piece, and the bounds of the documents in them."""
+    """Bytes (A-Z in lower case but in words with a bar or a marked capital), start and end of each piece, and the bounds of the documents in them."""
     w, data = tv.words(c), tv.lower(c.data)
     left, right = data[:-1], data[1:]
     cut = np.flatnonzero(_LETTER[left] & _PUNCTUATION[right] | _PUNCTUATION[left] & _LETTER[right]) + 1
     cut = cut[~np.isin(cut, c.off)]
-    bars = np.flatnonzero(data == 124)
+    # U+0300 to U+036F are two bytes, the first of them CC or CD
+    marked = (c.data[:-1] >= 65) & (c.data[:-1] <= 90) & ((c.data[1:] == 0xCC) | (c.data[1:] == 0xCD))
+    bars = np.flatnonzero((data == 124) | np.append(marked, np.zeros(min(1, len(data)), bool)))
     if len(bars):
         held = np.unique(np.searchsorted(w.start, bars, "right") - 1)
         inside = tv.ragged(w.start[held], w.end[held] - w.start[held])

@@ -39,8 +39,8 @@ ROUNDS, DIGITS = 8, 12
 #: Rounds between two tables that cut the lineage.
 STAGED = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Fixed value: a link's target in a page.
-_HREF = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*([^\"'\s>]+)"
+#: Fixed value: a link's target in a page. A tag ends where the next one begins, so a page of unclosed tags is read once.
+_HREF = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?\s*([^\"'\s>]+)"
 
 
 def _after(url: Column) -> Column:
@@ -147,7 +147,7 @@ def _sql(rounds: int = ROUNDS) -> str:
 WITH u AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN {host} ELSE '' END AS host, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
 v AS MATERIALIZED (SELECT page_id, html, host, path, CASE {name} END AS rule FROM u), a AS MATERIALIZED (SELECT page_id, host, path, rule, CASE {allow} END AS allow FROM v),
 seeds AS (SELECT host, CAST(count(*) FILTER (WHERE allow) AS DOUBLE) AS good, CAST(count(*) FILTER (WHERE NOT allow) AS DOUBLE) AS bad FROM a WHERE rule IS NOT NULL AND host <> '' GROUP BY host),
-l AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']?\\s*([^\"''\\s>]+)', 1))) AS target FROM v),
+l AS (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^<>]*?href\\s*=\\s*[\"'']?\\s*([^\"''\\s>]+)', 1))) AS target FROM v),
 edges AS (SELECT src, dst, count(*) AS n FROM (SELECT src, translate(regexp_extract(target, '^(?:[hH][tT][tT][pP][sS]?:)?//([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS dst FROM l WHERE regexp_matches(target, '^(?i:https?:)?//')) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
 both_ AS (SELECT true AS good, src AS host, dst, n FROM edges UNION ALL SELECT false, dst, src, n FROM edges),
 steps AS (SELECT good, host, dst, n / sum(n) OVER (PARTITION BY good, host) AS share FROM both_),

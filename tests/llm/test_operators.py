@@ -485,7 +485,7 @@ def test_licenses(spark, docs, empty):
             w = t.split()
             rows += [(i, f"{prose(30)}. {t.upper()} {prose(30)}", name), (i + 1, "  ".join(w), name), (i + 2, " ".join(w[: len(w) // 2]) + prose(3), None)]
             if len(w) > 28:
-                w[3] = "changed"
+                w[8] = "changed"
                 rows.append((i + 3, f"{prose(5)} {' '.join(w)} {prose(5)}", name))
             i += 4
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()}
@@ -497,6 +497,42 @@ def test_licenses(spark, docs, empty):
     assert {r.licenses for r in licenses.scan(docs).collect()} == {"", "MIT"} and licenses.scan(empty).count() == 0
 
 
+def test_versions_of_a_notice_and_short_notices(spark):
+    gpl2, gpl3, lgpl = licenses.TEMPLATES["GPL-2.0"][0], licenses.TEMPLATES["GPL-3.0"][1], licenses.TEMPLATES["LGPL-2.1"][0]
+    rows = [(1, gpl2, "GPL-2.0"), (2, gpl3, "GPL-3.0"), (3, lgpl, "LGPL-2.1"), (4, f"x {gpl2} and then {gpl3}", "GPL-2.0,GPL-3.0"), (5, "Copyright. ALL rights, reserved", "All rights reserved"), (6, "all rights", ""), (7, "reserved. all rights", "")]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {d: n for d, _, n in rows}
+
+
+def test_license_recall_against_exact_containment():
+    """Damaged notices within prose: of the templates that brute force finds contained, the bands retrieve nearly all."""
+    rng, found, all_ = random.Random(8), 0, 0
+    fold = lambda t: [x.strip(".") for x in re.sub(r"[^a-z0-9. ]", " ", t.lower()).split() if x.strip(".")]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, wants = [], []
+    templates = [(n, fold(t)) for n, ts in licenses.TEMPLATES.items() for t in ts if len(fold(t)) >= 5]
+    long = [w for _, w in templates if len(w) >= 12]
+    for _ in range(300):
+        w = list(rng.choice(long))
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "changed"
+        text = ["lorem"] * 40 + w + ["ipsum"] * 40
+        share = {n: max(len(grams(text) & grams(t)) / len(grams(t)) for m, t in templates if m == n) for n, _ in templates}
+        texts.append(" ".join(text))
+        best = max(share.values())
+        wants.append({n for n, x in share.items() if x >= licenses.CONTAINMENT and x == best})
+    for c in tv_chunks(texts):
+        for hits, want in zip(licenses._scan(c), wants[c.row : c.row + c.n], strict=True):
+            names = {licenses._ALL[t].name for t, _ in hits}
+            assert names <= want or not want and not names
+            found, all_ = found + len(names & want), all_ + len(want)
+    assert all_ > 100 and found >= 0.99 * all_
+
+
+def tv_chunks(texts):
+    return textvec.chunks(pa.array(texts))
+
+
 # --- op9
 
 
@@ -516,6 +552,9 @@ def test_langid_on_held_out_rows(spark, empty):
     assert sum(r.lang_pred == want[r.doc_id] for r in held) >= 0.98 * len(held)
     assert {r.lang_pred for r in got if r.doc_id in (900, 901, 902)} == {"und"} and next(r for r in got if r.doc_id == 903).lang_pred in stems
     assert all(0 <= r.score <= 1 for r in got)
+    one, many = (next(textvec.chunks(pa.array(t))) for t in (["kalo miru"], ["kalo miru"] * 1200))
+    assert sum(c.n for c in langid._pieces(pa.array(["kalo miru"] * 1200))) == 1200 and max(c.n for c in langid._pieces(pa.array(["x"] * 1200))) == langid.ROWS
+    assert (langid.counts(many) == langid.counts(one)).all()
     none = langid.fit(empty)
     assert langid.predict(d.select("doc_id", F.lit(False).alias("held_out"), "text"), none).filter("lang_pred <> 'und'").count() == 0
 
@@ -529,7 +568,7 @@ def test_packing_round_trip(docs, empty):
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    extra = docs.sparkSession.createDataFrame([(9100, "A<|endoftext|>b <|ENDOFTEXT|> it's 'S fine|X.,'ll ＡＢ ﬁ İstanbul e\u0301=\u0338a 12ab", *[None] * 7)], SCHEMA)
+    extra = docs.sparkSession.createDataFrame([(9100, "J\u030c H\u0331x T\u0308.W\u030a Y\u030aX A<|endoftext|>b <|ENDOFTEXT|> it's 'S fine|X.,'ll ＡＢ ﬁ İstanbul e\u0301=\u0338a 12ab", *[None] * 7)], SCHEMA)
     got = packing.pack(docs.unionByName(extra), length=512, whole=True).collect()
     want = collections.Counter((r[0], tuple([*t.encode(r[1] or "", add_special_tokens=False).ids, 2])) for r in [*ROWS, extra.first()])
     found, run = collections.Counter(), []
