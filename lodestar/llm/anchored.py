@@ -40,10 +40,12 @@ def own_texts(docs: DataFrame) -> DataFrame:
     return docs.select(document_key(), F.xxhash64(F.col("doc_id").cast("long"), text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def segments(values: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, start, windows, grams, anchor, content) of all segments; first: bounds of the documents in values."""
-    rolling = tv.Rolling(values)
-    grams = rolling.grams(gram)
+def segments(values: np.ndarray, first: np.ndarray, width: int, gram: int, content: bool = True) -> tuple[np.ndarray, ...]:
+    """(document, start, windows, grams, anchor, content) of all segments, content only if asked for; first: bounds of the documents in values.
+
+    Anchors whose hashes collide are merely looked at together, so these hashes are the quick ones.
+    """
+    grams = tv.quick_grams(values, gram)
     least = tv.sliding_min(grams, width - gram + 1)
     empty = np.zeros(0, np.int64)
     if not len(least):
@@ -61,7 +63,7 @@ def segments(values: np.ndarray, first: np.ndarray, width: int, gram: int) -> tu
     reach = end - start + width - gram
     total = np.concatenate(([0], np.cumsum(grams[tv.ragged(start, reach)] == np.repeat(least[start], reach))))
     many = np.diff(total[np.concatenate(([0], np.cumsum(reach)))])
-    return doc, start - first[doc], end - start, np.minimum(many, 2), least[start], rolling.of(start, end + width - 1)
+    return doc, start - first[doc], end - start, np.minimum(many, 2), least[start], tv.Rolling(values).of(start, end + width - 1) if content else empty
 
 
 def scan(texts: DataFrame, unit: Callable[[tv.Chunk], tuple[np.ndarray, np.ndarray]], width: int, gram: int) -> DataFrame:
@@ -77,10 +79,22 @@ def scan(texts: DataFrame, unit: Callable[[tv.Chunk], tuple[np.ndarray, np.ndarr
     return texts.mapInArrow(each(run), ", ".join(f"{k} long" for k in (*keys, "s", "n", "m", "ah", "sh")))
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """Segments whose anchor occurs again, in another segment or in their own."""
-    twice = rows.groupBy("ah").agg(F.sum("m").alias("c")).filter("c > 1").select("ah")
-    return rows.join(dealt_anew(twice, "ah"), "ah")
+def anchors(texts: DataFrame, unit: Callable[[tv.Chunk], tuple[np.ndarray, np.ndarray]], width: int, gram: int) -> DataFrame:
+    """(ah, m) of all segments, each chunk's equal anchors added up."""
+
+    def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for c in tv.chunks(b.column("text")):
+            _, _, _, m, ah, _ = segments(*unit(c), width, gram, content=False)
+            held, of = np.unique(ah, return_inverse=True)
+            yield batch(ah=signed(held), m=np.bincount(of, weights=m, minlength=len(held)).astype(np.int64))
+
+    return texts.select("text").mapInArrow(each(run), "ah long, m long")
+
+
+def shared(texts: DataFrame, unit: Callable[[tv.Chunk], tuple[np.ndarray, np.ndarray]], width: int, gram: int) -> DataFrame:
+    """Segments (``scan``) whose anchor occurs again, in another segment or in their own. Texts are read twice, first for the anchors alone."""
+    twice = anchors(texts, unit, width, gram).groupBy("ah").agg(F.sum("m").alias("c")).filter("c > 1").select("ah")
+    return scan(texts, unit, width, gram).join(dealt_anew(twice, "ah"), "ah")
 
 
 def per_document(rows: DataFrame, *columns: str) -> DataFrame:

@@ -80,7 +80,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     hashes. Equal rows are one document, so they don't make each other repeats. A null or empty text has no words.
     """
     texts = anchored.own_texts(docs)
-    seeds = stage(anchored.shared(anchored.scan(texts, _unit, window, seed)), "seeds")
+    seeds = stage(anchored.shared(texts, _unit, window, seed), "seeds")
     place = F.struct("id", "row", "s")
     firsts = seeds.groupBy("ah", "sh").agg(F.min(F.struct("id", "row", "s", "n")).alias("first"), F.max("m").alias("m"))
     later = place != F.struct("first.id", "first.row", "first.s")

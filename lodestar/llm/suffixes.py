@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shar
     has no bytes. Rows are told apart by doc_id and text; equal ones count as two documents, so each is the other's copy.
     """
     texts = anchored.own_texts(docs)
-    seeds = stage(anchored.shared(anchored.scan(texts.select("row", "text"), _unit, window, gram)), "segments")
+    seeds = stage(anchored.shared(texts.select("row", "text"), _unit, window, gram), "segments")
     kinds = seeds.groupBy("ah", "sh").agg(F.min(F.struct("row", "s", "n")).alias("first"), F.count("*").alias("c"), F.max("m").alias("m"))
     whole = seeds.join(dealt_anew(kinds.filter("c > 1").select("ah", "sh"), "ah", "sh"), ["ah", "sh"]).select("row", "s", (F.col("s") + F.col("n") + window - 1).alias("e"))
     anchors = kinds.groupBy("ah").agg(F.sum("m").alias("k"), F.sum(F.col("first.n") + window).alias("bytes")).filter("k > 1")
