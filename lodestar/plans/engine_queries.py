@@ -31,6 +31,9 @@ _GENERAL = "CASE WHEN {t} LIKE 'VB%' THEN 'VB' ELSE {t} END"
 def parsed(spark: SparkSession, d: str) -> DataFrame:
     """SENTENCE rows of all documents, by the reader of parses."""
     docs = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # a small file is one split; parsing is worth more tasks
+        docs = docs.repartition(cores)
     found = F.filter(F.regexp_extract_all("text", F.lit(_SENTENCE), F.lit(0)), lambda x: x.rlike("[^ ]"))
     docs = docs.withColumn("words", F.transform(found, lambda x: F.array_remove(F.split(x, " "), "")))
     tag = _TAG.format(w="w")
