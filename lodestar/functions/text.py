@@ -47,8 +47,8 @@ def before_appendix(text: str | Column) -> Column:
 
 
 def shift_by_quotes(text: Column, index: Column) -> Column:
-    """An offset less the number of double quotes before it."""
-    return index - count_of(F.substring(text, F.lit(1), index), '"')
+    """An offset in a text whose double quotes became two characters each: the offset plus the number of quotes before it."""
+    return index + count_of(F.substring(text, F.lit(1), index), '"')
 
 
 def contiguous(indices: str | Column) -> Column:

@@ -108,3 +108,24 @@ def double_heads(edges: DataFrame, ignored: Sequence[str] = ("ref",)) -> DataFra
     many = edges.filter(~F.col("label").isin(list(ignored))).groupBy(*sent, "dep").agg(F.count_distinct("head").alias("parents")).filter("parents > 1")
     heads = edges.select(*sent, F.col("head").alias("dep")).distinct()
     return many.join(heads, [*sent, "dep"], "left_semi")
+
+
+def runs(rows: DataFrame, index: str, *keys: str, block: int = 1 << 20) -> DataFrame:
+    """(keys, first, last, n) of the runs of consecutive distinct integers per key, in two steps so that a key may hold any number of rows.
+
+    Runs are found within blocks of indices; only those that touch a block's border, at most two a block, meet again under their key.
+    """
+    at = F.col(index).cast("long")
+
+    def islands(df: DataFrame, first: str, last: str, n: str, *by: str) -> DataFrame:
+        """Joins rows whose first is the last of the one before plus 1."""
+        w = Window.partitionBy(*by).orderBy(first)
+        new = F.coalesce(F.col(first) != F.lag(last).over(w) + 1, F.lit(True)).cast("long")
+        g = df.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w))
+        return g.groupBy(*by, "_run").agg(F.min(first).alias("first"), F.max(last).alias("last"), F.sum(n).alias("n")).drop("_run")
+
+    one = rows.select(*keys, (at - F.pmod(at, F.lit(block))).alias("_block"), at.alias("_first"), at.alias("_last"), F.lit(1).cast("long").alias("_n"))
+    local = islands(one, "_first", "_last", "_n", *keys, "_block").drop("_block")
+    border = (F.pmod("first", F.lit(block)) == 0) | (F.pmod("last", F.lit(block)) == block - 1)
+    met = islands(local.filter(border), "first", "last", "n", *keys)
+    return local.filter(~border).unionByName(met)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 CUTOFF = 0.45
 
@@ -40,10 +40,12 @@ def majority(rows: DataFrame, key: Sequence[str], label: Column) -> DataFrame:
 
 def conflicts(candidates: DataFrame, sentence: Sequence[str], tokens: str, has_steiner: str) -> DataFrame:
     """candidates without those that share a token with another one and have a pattern with a Steiner node."""
-    used = candidates.select(*sentence, "cand_id", has_steiner, F.explode(F.array_distinct(tokens)).alias("_t"))
-    taken = used.groupBy(*sentence, "_t").agg(F.count("*").alias("_n")).filter("_n > 1")
-    bad = used.filter(has_steiner).join(taken, [*sentence, "_t"], "left_semi").select(*sentence, "cand_id").distinct()
-    return candidates.join(bad, [*sentence, "cand_id"], "left_anti")
+    own = candidates.columns
+    used = candidates.repartition(*sentence).select(*sentence, "cand_id", F.struct(*own).alias("_row"), F.explode_outer(F.array_distinct(tokens)).alias("_t"))
+    # the sentences' partitions serve the count by token and the way back to candidates: one shuffle in all
+    n = F.count("_t").over(Window.partitionBy(*sentence, "_t"))
+    back = used.withColumn("_n", n).groupBy(*sentence, "cand_id").agg(F.first("_row").alias("_row"), F.max("_n").alias("_n"))
+    return back.filter((F.col("_n") <= 1) | ~F.coalesce(F.col(f"_row.{has_steiner}"), F.lit(False))).select("_row.*")
 
 
 def _greedy(spans: list, order: list) -> list[bool]:
@@ -57,16 +59,22 @@ def _greedy(spans: list, order: list) -> list[bool]:
     return keep
 
 
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def _choose(spans: pa.Array, order: pa.Array) -> pa.Array:
+    return pa.array([None if s is None else _greedy([x or [] for x in s], o) for s, o in zip(spans.to_pylist(), order.to_pylist(), strict=True)], pa.list_(pa.bool_()))
+
+
 def keep_larger(candidates: DataFrame, sentence: Sequence[str], tokens: str, order: str) -> DataFrame:
     """in each sentence larger connectives first, ties by ``order``; one that reuses a claimed token is dropped.
 
-    The rule is sequential (a dropped one claims nothing), so each sentence is one small group: what a sentence's tokens allow.
+    The rule is sequential (a dropped one claims nothing), so a sentence's candidates come together in a row, which is small: what a
+    sentence's tokens allow. Python sees their tokens and order alone, many sentences at a time; sentences with one candidate stay in the JVM.
     """
-
-    def choose(t: pd.DataFrame) -> pd.DataFrame:
-        return t[_greedy([list(x) for x in t[tokens]], t[order].tolist())]
-
-    return candidates.groupBy(*sentence).applyInPandas(choose, candidates.schema)
+    rows = candidates.groupBy(*sentence).agg(F.collect_list(F.struct(*candidates.columns)).alias("_rows"))
+    several = lambda c: F.when(F.size("_rows") > 1, F.col(f"_rows.{c}"))
+    kept = rows.withColumn("_keep", _choose(several(tokens), several(order)))
+    pairs = F.filter(F.arrays_zip(F.col("_rows").alias("r"), F.col("_keep").alias("k")), lambda z: z["k"])
+    return kept.select(F.inline(F.when(F.col("_keep").isNull(), F.col("_rows")).otherwise(F.transform(pairs, lambda z: z["r"]))))
 
 
 def chi_square(table: DataFrame, item: str, label: Column, *, docs: str = "doc_id") -> DataFrame:
@@ -110,9 +118,3 @@ def folds(key: str | Column, k: int = 20) -> Column:
 def ranked(rows: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
-
-
-def greedy_rows(batches: Iterator[pd.DataFrame], tokens: str) -> Iterator[pd.DataFrame]:
-    """F14 for rows that carry all candidates of a sentence as an array of arrays; keeps the array's order."""
-    for t in batches:
-        yield t.assign(kept=[[list(x) for x, k in zip(c, _greedy([list(x) for x in c], list(range(len(c)))), strict=True) if k] for c in t[tokens]])

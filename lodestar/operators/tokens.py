@@ -44,6 +44,15 @@ def thresholded(grams: DataFrame, *keys: str, least: int = 4) -> DataFrame:
     return once.groupBy("gram").agg(F.count("*").alias("holders"), F.sum("k").alias("n")).filter(F.col("holders") >= least)
 
 
+def thresholded_rows(rows: DataFrame, w: str | Column, skips: int = 1, least: int = 4) -> DataFrame:
+    """X34 where each row is one holder: a gram's first place within its row is marked there, so that the one shuffle is by gram, after partial counts."""
+    grams = F.concat(*[ngrams(w, g + 1) for g in range(skips + 1)])
+    g = rows.select(F.sort_array(F.transform(grams, lambda x: F.concat_ws(" ", x["a"], x["b"]))).alias("g"))
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "g"), F.lit(1), F.size("g"))
+    marked = g.select(F.explode(F.zip_with("g", before, lambda x, y: F.struct(x.alias("gram"), (~x.eqNullSafe(y)).cast("int").alias("first")))).alias("m"))
+    return marked.groupBy("m.gram").agg(F.sum("m.first").alias("holders"), F.count("*").alias("n")).filter(F.col("holders") >= least)
+
+
 def contains_all(w: str | Column, wanted: Sequence[str]) -> Column:
     """Whether all words occur, however often; decided within the row."""
     have = F.col(w) if isinstance(w, str) else w

@@ -66,10 +66,7 @@ SELECT event_type, CAST(min(event_id) AS BIGINT) AS first_id, CAST(max(event_id)
 """)
 def _(spark, d):
     """Runs of consecutive ids per type: a row begins a run if its predecessor isn't the id before it."""
-    e = read(spark, d, "events").select("event_type", "event_id")
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    island = F.col("event_id") - F.row_number().over(w)
-    return e.withColumn("island", island).groupBy("event_type", "island").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count("*").alias("n")).drop("island")
+    return analytics.runs(read(spark, d, "events").select("event_type", "event_id"), "event_id", "event_type").select("event_type", F.col("first").alias("first_id"), F.col("last").alias("last_id"), "n")
 
 
 @query("s_budget_sample", """
@@ -115,10 +112,10 @@ def _(spark, d):
 
 
 @query("s_quote_offsets", """
-SELECT event_id, CAST(strpos(props, ':') AS BIGINT) AS raw, CAST(strpos(props, ':') - (length(substr(props, 1, strpos(props, ':'))) - length(replace(substr(props, 1, strpos(props, ':')), '"', ''))) AS BIGINT) AS corrected FROM events WHERE strpos(props, ':') > 0
+SELECT event_id, CAST(strpos(props, ':') AS BIGINT) AS raw, CAST(strpos(props, ':') + (length(substr(props, 1, strpos(props, ':'))) - length(replace(substr(props, 1, strpos(props, ':')), '"', ''))) AS BIGINT) AS corrected FROM events WHERE strpos(props, ':') > 0
 """)
 def _(spark, d):
-    """Offsets less the double quotes before them."""
+    """Offsets plus the double quotes before them."""
     e = read(spark, d, "events").filter(F.instr("props", ":") > 0)
     raw = F.instr("props", ":")
     return e.select("event_id", raw.cast("long").alias("raw"), tx.shift_by_quotes(F.col("props"), raw).cast("long").alias("corrected"))
@@ -276,7 +273,8 @@ z AS (SELECT CAST(count(*) FILTER (WHERE y) AS DOUBLE) AS p, CAST(count(*) FILTE
 SELECT word, a, b, round(coalesce((p + q) * pow(a * (q - b) - b * (p - a), 2) / nullif((a + b) * (p + q - a - b) * p * q, 0), 0), 6) AS chi2 FROM n, z ORDER BY round(chi2, 6) DESC, word LIMIT 50
 """)
 def _(spark, d):
-    t = _tokens(spark, d).join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    labelled = _docs(spark, d).join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    t = labelled.select("doc_id", "quality", F.explode(F.array_distinct(tx.words("text"))).alias("word"))
     chi = filtering.chi_square(t, "word", F.col("quality") == 1).withColumn("chi2", F.round("chi2", 6))
     return filtering.top(chi, "chi2", 50, "word")
 
@@ -298,7 +296,7 @@ SELECT gram, count(DISTINCT doc_id) AS holders, count(*) AS n FROM g GROUP BY gr
 """)
 def _(spark, d):
     w = _docs(spark, d).select("doc_id", tx.words("text").alias("w"))
-    return tk.thresholded(tk.skipgrams(w, "w", "doc_id"), "doc_id")
+    return tk.thresholded_rows(w, "w")
 
 
 @query("x_closed_class", f"WITH {_W} SELECT doc_id, array_to_string(list_filter(w, lambda x: x IN ({_CLOSED})), ' ') AS closed FROM w WHERE w IS NOT NULL")

@@ -27,4 +27,4 @@ def test_quotes_and_cleanup(spark):
     report = "Well \\12\\ so.....then . . . ok\nQ.12. What? A.3. That\nI was--\nTHE HOUSE, OF\nMr. Smith:\nthe end.The Next One\n   A P P E N D I X\nrest"
     want = "Well   so then ...  ok\n. What?   That\nI was--.\n\nTHE HOUSE, OF.\nMr. Smith.\nthe end.\n\nThe Next One.\n"
     assert one(report, text.rewrite(text.before_appendix("t"), text.CLEANUP_RULES)) == want
-    assert one("x", text.shift_by_quotes(F.lit('a"b"c'), F.lit(4))) == 2
+    assert one("x", text.shift_by_quotes(F.lit('a"b"c'), F.lit(4))) == 6
