@@ -150,6 +150,70 @@ def of_row(edges) -> SentenceGraph:
     return SentenceGraph((e["head"], e["dep"], e["label"]) for e in (edges if edges is not None else ()))
 
 
+def _is(tokens: dict[int, dict], i: int, lemma: str | None = None, tag: str = "") -> bool:
+    t = tokens.get(i) or {}
+    return (lemma is None or t.get("lemma") == lemma) and tag in (t.get("pos") or "")
+
+
+def active(edges: Iterable[dict], tokens: dict[int, dict]) -> list[tuple[int, int, str]]:
+    """Edges in which passives and reduced relatives look active. An agent is an ``nmod`` of the verb that has *by* as its ``case``.
+
+    1. A passive subject of a verb with *be* as ``auxpass`` and an agent: the subject becomes ``dobj``, the agent ``nsubj``; *by* and *be* go,
+       and what hangs on them moves up to the agent and the verb.
+    2. A noun with a participle as ``acl`` that has an agent: the agent becomes ``nsubj``, *by* goes with all below it, the noun is ``dobj`` of the participle, too.
+    3. Such a noun otherwise, unless the participle has a ``dobj`` or a *by* with an object of its own: the noun becomes its ``dobj``, too.
+
+    The rules run in this order, each on what the ones before left. Each finds all its places first.
+    """
+    now = {(e["head"], e["dep"], e["label"]) for e in edges}
+
+    def children(h: int, *labels: str) -> list[int]:
+        return sorted(d for x, d, label in now if x == h and label in labels)
+
+    def agents(verb: int, tag: str) -> list[tuple[int, int]]:
+        return [(a, b) for a in children(verb, "nmod", "nmod:agent") for b in children(a, "case") if _is(tokens, b, "by", tag)]
+
+    def relabel(h: int, d: int, old: Sequence[str], new: str) -> None:
+        for label in old:
+            now.discard((h, d, label))
+        now.add((h, d, new))
+
+    def below(x: int) -> set[int]:
+        seen, stack = {x}, [x]
+        while stack:
+            top = stack.pop()
+            new = {d for h, d, _ in now if h == top} - seen
+            seen |= new
+            stack += new
+        return seen
+
+    passive = [(v, s, a, by, be) for v, s, label in sorted(now) if label == "nsubjpass" and _is(tokens, v, tag="V") for be in children(v, "auxpass") if _is(tokens, be, "be") for a, by in agents(v, "IN")]
+    for v, s, a, by, be in passive:
+        relabel(v, s, ("nsubjpass",), "dobj")
+        relabel(v, a, ("nmod", "nmod:agent"), "nsubj")
+        for gone, up in ((by, a), (be, v)):
+            for h, d, label in [e for e in now if gone in e[:2]]:
+                now.discard((h, d, label))
+                if h == gone and d != up:
+                    now.add((up, d, label))
+
+    def nouns(other: str) -> list[tuple[int, int]]:
+        fits = lambda n: _is(tokens, n, tag="NN") or other in (pos := tokens.get(n, {}).get("pos") or "") or pos in ("PRP", "VBG")
+        return [(n, v) for n, v, label in sorted(now) if label == "acl" and (tokens.get(v) or {}).get("pos") == "VBN" and fits(n)]
+
+    for n, v in [(n, v) for n, v in nouns("CD") if not any(h == v and d == n for h, d, _ in now) and agents(v, "")]:
+        for a, by in agents(v, ""):
+            relabel(v, a, ("nmod", "nmod:agent"), "nsubj")
+            gone = below(by) - {n, v, a}
+            now -= {e for e in now if e[0] in gone or e[1] == by}
+        now.add((v, n, "dobj"))
+    for n, v in nouns("C"):
+        own_by = any(h == v and _is(tokens, d, "by") and children(d, "pobj") for h, d, _ in now)
+        if not children(v, "dobj") and not own_by:
+            now.add((v, n, "dobj"))
+    return sorted(now)
+
+
 def bracketed(tokens: Sequence[dict], edges: Sequence[dict]) -> str:
     """The graph as a bracketed string ``(lemma_i label TAG children)``; a node that was printed comes again without children; ``ref`` edges are left out."""
     graph = SentenceGraph((e["head"], e["dep"], e["label"]) for e in edges if e["label"] != "ref")

@@ -23,11 +23,11 @@ def prior_filter(rows: DataFrame, priors: DataFrame, key: str, cutoff: float = C
     return rows.join(priors.select(key, "prior"), key, "left").withColumn("score", score).filter(F.col("score") > cutoff).drop("prior")
 
 
-def soft_vote(scores: Sequence[str | Column], weights: Sequence[float] | None = None) -> Column:
+def soft_vote(scores: Sequence[str | Column], weights: Sequence[float | Column] | None = None) -> Column:
     """weighted mean of the scores that are there; null if none is."""
     cols = [F.col(s) if isinstance(s, str) else s for s in scores]
     cols = [F.when(~F.isnan(c), c) for c in cols]
-    w = [F.when(c.isNotNull(), F.lit(float(x))).otherwise(0.0) for c, x in zip(cols, weights or [1.0] * len(cols), strict=True)]
+    w = [F.when(c.isNotNull(), x if isinstance(x, Column) else F.lit(float(x))).otherwise(0.0) for c, x in zip(cols, weights or [1.0] * len(cols), strict=True)]
     total = sum(w[1:], w[0])
     return sum((F.coalesce(c, F.lit(0.0)) * x for c, x in zip(cols[1:], w[1:], strict=True)), F.coalesce(cols[0], F.lit(0.0)) * w[0]) / F.nullif(total, F.lit(0.0))
 

@@ -93,3 +93,13 @@ def dot_lines(sentences: DataFrame) -> DataFrame:
     nodes = F.transform("tokens", lambda t: F.concat(name(t["idx"]), F.lit(' [label="'), F.regexp_replace(t["text"], '"', "'"), F.lit('"];')))
     edges = F.transform("edges", lambda e: F.concat(name(e["head"]), F.lit(" -> "), name(e["dep"]), F.lit(' [label="'), e["label"], F.lit('"];')))
     return sentences.select("doc_id", "sent_id", F.concat(F.lit("digraph {\n"), F.array_join(F.concat(nodes, edges), "\n"), F.lit("\n}")).alias("dot"))
+
+
+def lemmas_in_arguments(candidates: DataFrame, gold: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Distinct (pattern_id, lemma) of connective words that lie inside an argument of the gold instance their candidate is linked to."""
+    g = gold.select("doc_id", "sent_id", F.col("inst_id").alias("gold_inst_id"), F.array_union(F.coalesce("cause", F.array().cast("array<int>")), F.coalesce("effect", F.array().cast("array<int>"))).alias("_args"))
+    r = candidates.select("doc_id", "sent_id", "gold_inst_id", "patterns", "connective").join(g, ["doc_id", "sent_id", "gold_inst_id"])
+    r = r.withColumn("_in", F.array_intersect("connective", "_args")).filter(F.size("_in") > 0)
+    lemma = F.transform(F.filter("tokens", lambda t: F.array_contains("_in", t["idx"])), lambda t: t["lemma"])
+    r = r.join(sentences.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"]).select("patterns", F.explode(F.array_distinct(lemma)).alias("lemma"))
+    return r.select(F.explode("patterns").alias("pattern_id"), "lemma").distinct()

@@ -11,10 +11,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from lodestar.functions.graph import SentenceGraph, of_row
+from lodestar.functions.graph import SentenceGraph, active, of_row
 from lodestar.operators.filtering import ranked
+from lodestar.schema import general_tag
 
 MAX_STEINERS = 6
 #: Labels that stand for each other in patterns; any label also matches ``dep``.
@@ -26,40 +28,30 @@ PATTERN = "pattern_id string, nodes array<struct<node:int,roles:array<string>,le
 # --- P12
 
 
+_EDGES = T.ArrayType(T.StructType([T.StructField("head", T.IntegerType()), T.StructField("dep", T.IntegerType()), T.StructField("label", T.StringType())]))
+
+
+@F.arrow_udf(_EDGES)
+def _rewritten(edges: pa.Array, tokens: pa.Array) -> pa.Array:
+    one = lambda e, t: None if e is None else [{"head": h, "dep": d, "label": x} for h, d, x in active(e, {k["idx"]: k for k in t})]
+    return pa.array([one(e, t) for e, t in zip(edges.to_pylist(), tokens.to_pylist(), strict=True)], edges.type)
+
+
 def activated(sentences: DataFrame) -> DataFrame:
     """Sentences whose edges are rewritten so that passives and reduced relatives look active.
 
-    Passive with an agent: subject becomes ``dobj``, the *by* phrase ``nsubj``, *by* and the auxiliary go and their children move up.
-    Reduced relative: the noun becomes ``dobj`` of the participle, an agent its ``nsubj``. Rules are applied once, set at a time, by joins.
+    Within the row: no shuffle, and only sentences with a passive subject or a clause on a noun go to Python.
     """
-    e = sentences.select(*SENT, F.inline("edges"))
-    t = sentences.select(*SENT, F.inline("tokens")).select(*SENT, F.col("idx").alias("dep"), "lemma", "pos")
-    lab = lambda *x: e.filter(F.col("label").isin(*x))
-    by = lab("case").join(t.filter("lemma = 'by'"), [*SENT, "dep"]).select(*SENT, F.col("head").alias("agent"), F.col("dep").alias("by"))
-    agents = lab("nmod", "nmod:agent").select(*SENT, F.col("head").alias("verb"), F.col("dep").alias("agent")).join(by, [*SENT, "agent"])
-    be = lab("auxpass").join(t.filter("lemma = 'be'"), [*SENT, "dep"]).select(*SENT, F.col("head").alias("verb"), F.col("dep").alias("be"))
-    passive = lab("nsubjpass").select(*SENT, F.col("head").alias("verb"), F.col("dep").alias("subj")).join(be, [*SENT, "verb"]).join(agents, [*SENT, "verb"])
-    nominal = t.filter("pos like 'NN%' or pos like 'PRP%' or pos in ('CD', 'VBG')").select(*SENT, F.col("dep").alias("noun"))
-    rel = lab("acl").select(*SENT, F.col("head").alias("noun"), F.col("dep").alias("verb")).join(t.filter("pos = 'VBN'").select(*SENT, F.col("dep").alias("verb")), [*SENT, "verb"]).join(nominal, [*SENT, "noun"])
-    rel_by = rel.join(agents, [*SENT, "verb"])
-    has_object = lab("dobj").select(*SENT, F.col("head").alias("verb")).distinct()
-    rel_bare = rel.join(agents.select(*SENT, "verb").distinct(), [*SENT, "verb"], "left_anti").join(has_object, [*SENT, "verb"], "left_anti")
-
-    gone = passive.select(*SENT, F.col("by").alias("x"), F.col("agent").alias("up")).unionByName(passive.select(*SENT, F.col("be").alias("x"), F.col("verb").alias("up"))).unionByName(rel_by.select(*SENT, F.col("by").alias("x"), F.col("agent").alias("up"))).distinct()
-    new = lambda df, h, d, label: df.select(*SENT, F.col(h).alias("head"), F.col(d).alias("dep"), F.lit(label).alias("label"))
-    changed = new(passive, "verb", "subj", "dobj").unionByName(new(passive, "verb", "agent", "nsubj")).unionByName(new(rel_by, "verb", "agent", "nsubj"))
-    added = new(rel_by, "verb", "noun", "dobj").unionByName(new(rel_bare, "verb", "noun", "dobj"))
-    kept = e.join(changed.select(*SENT, "head", "dep").distinct(), [*SENT, "head", "dep"], "left_anti")
-    kept = kept.join(gone.select(*SENT, F.col("x").alias("dep")).distinct(), [*SENT, "dep"], "left_anti")
-    kept = kept.join(gone.withColumnRenamed("x", "head"), [*SENT, "head"], "left").select(*SENT, F.coalesce("up", "head").alias("head"), "dep", "label")
-    all_ = kept.unionByName(changed).unionByName(added).distinct().groupBy(*SENT).agg(F.array_sort(F.collect_list(F.struct("head", "dep", "label"))).alias("_new"))
-    return sentences.join(all_, list(SENT), "left").withColumn("edges", F.coalesce("_new", F.array().cast("array<struct<head:int,dep:int,label:string>>"))).drop("_new")
+    concerned = F.exists("edges", lambda e: e["label"].isin("nsubjpass", "acl"))
+    light = F.transform("tokens", lambda t: F.struct(t["idx"].alias("idx"), t["lemma"].alias("lemma"), t["pos"].alias("pos")))
+    new = _rewritten(F.when(concerned, F.col("edges")), F.when(concerned, light))
+    return sentences.withColumn("edges", F.coalesce(new, "edges", F.array().cast("array<struct<head:int,dep:int,label:string>>")))
 
 
 # --- P01 to P11
 
 
-def _pattern(graph: SentenceGraph, tokens: dict, connective: list[int], cause: int, effect: int, max_steiners: int) -> tuple | None:
+def _pattern(graph: SentenceGraph, tokens: dict, connective: list[int], cause: int, effect: int, max_steiners: int, argument_tags: bool = False) -> tuple | None:
     linked = {x for h in graph.out for x in (h, *(d for _, d in graph.out[h]))} - {0}
     conn = [x for x in connective if x in linked]
     if not conn or cause not in linked or effect not in linked or cause == effect:
@@ -80,7 +72,8 @@ def _pattern(graph: SentenceGraph, tokens: dict, connective: list[int], cause: i
     nodes = []
     for x in order:
         fixed = any(r.startswith("connective") for r in roles[x])
-        nodes.append({"node": number[x], "roles": sorted(roles[x]), "lemma": tokens[x]["lemma"] if fixed else None, "gen_pos": tokens[x]["gen_pos"] if fixed else None})
+        tagged = fixed or (argument_tags and x in (cause, effect))
+        nodes.append({"node": number[x], "roles": sorted(roles[x]), "lemma": tokens[x]["lemma"] if fixed else None, "gen_pos": tokens[x]["gen_pos"] if tagged else None})
     steps, bound, todo = [], {sorted(conn)[0]}, [(h, d, label) for h in sorted(tree) for label, d in graph.out.get(h, ()) if d in tree]
     while todo:
         ready = [t for t in todo if t[0] in bound or t[1] in bound]
@@ -94,8 +87,8 @@ def _pattern(graph: SentenceGraph, tokens: dict, connective: list[int], cause: i
     return nodes, steps, len(tree - required)
 
 
-def induce(instances: DataFrame, sentences: DataFrame, max_steiners: int = MAX_STEINERS) -> DataFrame:
-    """Distinct patterns (PATTERN) of instances that have a cause and an effect, the first occurrence of each."""
+def induce(instances: DataFrame, sentences: DataFrame, max_steiners: int = MAX_STEINERS, argument_tags: bool = False) -> DataFrame:
+    """Distinct patterns (PATTERN) of instances that have a cause and an effect, the first occurrence of each. With ``argument_tags`` tags of arguments must match, too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -139,7 +132,8 @@ def match(sentences: DataFrame, patterns: DataFrame) -> DataFrame:
         columns = [c for c in state.columns if c != "at"]
         state = state.select(*columns, F.explode(F.when(step.isNull(), F.array("at")).otherwise(F.transform(fits, at))).alias("at"))
         token = lambda i: F.get(F.filter("tokens", lambda t: t["idx"] == i), F.lit(0))
-        legal = F.forall(F.arrays_zip("nodes", "at"), lambda z: z["at"].isNull() | z["nodes"]["lemma"].isNull() | ((token(z["at"])["lemma"] == z["nodes"]["lemma"]) & (token(z["at"])["gen_pos"] == z["nodes"]["gen_pos"])))
+        same = lambda z, c: z["nodes"][c].isNull() | F.coalesce(token(z["at"])[c] == z["nodes"][c], F.lit(False))  # noqa: B023, E731
+        legal = F.forall(F.arrays_zip("nodes", "at"), lambda z: z["at"].isNull() | (same(z, "lemma") & same(z, "gen_pos")))  # noqa: B023
         bound = F.filter("at", lambda x: x.isNotNull())
         state = state.filter(legal & (F.size(F.array_distinct(bound)) == F.size(bound)))
     pairs = F.arrays_zip("nodes", "at")
@@ -149,10 +143,85 @@ def match(sentences: DataFrame, patterns: DataFrame) -> DataFrame:
     return ranked(found, [*SENT, "pattern_id", "start"], "at").drop("at", "start")
 
 
+_VIEW = T.StructType([T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("lemma", T.StringType()), T.StructField("gen_pos", T.StringType())]))), T.StructField("edges", _EDGES)])
+_SPAN = T.ArrayType(T.IntegerType())
+
+
+@F.arrow_udf(_VIEW)
+def _phrases(nodes: pa.Array) -> pa.Array:
+    def one(rows):
+        word = {n["parent"]: n["label"] for n in rows if n["leaf"] is not None}
+        inner = [n for n in rows if n["leaf"] is None]
+        tag = lambda n: general_tag(n["label"]) if n["node"] in word else n["label"]
+        tokens = [{"idx": n["node"] + 1, "lemma": word.get(n["node"]), "gen_pos": tag(n)} for n in inner]
+        return {"tokens": tokens, "edges": [{"head": 0 if n["parent"] is None else n["parent"] + 1, "dep": n["node"] + 1, "label": "root" if n["parent"] is None else "<"} for n in inner]}
+
+    edge = pa.struct([("head", pa.int32()), ("dep", pa.int32()), ("label", pa.string())])
+    token = pa.struct([("idx", pa.int32()), ("lemma", pa.string()), ("gen_pos", pa.string())])
+    return pa.array([one(n or []) for n in nodes.to_pylist()], pa.struct([("tokens", pa.list_(token)), ("edges", pa.list_(edge))]))
+
+
+@F.arrow_udf(_SPAN)
+def _covering(nodes: pa.Array, span: pa.Array) -> pa.Array:
+    """The lowest phrase over all words of a span, as an array of one."""
+
+    def one(rows, words):
+        above = {n["node"]: n["parent"] for n in rows}
+        common: list[int] | None = None
+        for n in rows:
+            if n["leaf"] in words and n["leaf"] is not None:
+                line, x = [], n["parent"]
+                while x is not None:
+                    line.append(x)
+                    x = above[x]
+                common = line if common is None else [x for x in common if x in line]
+        return [common[0] + 1] if common else None
+
+    return pa.array([one(n or [], set(w or [])) for n, w in zip(nodes.to_pylist(), span.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+
+@F.arrow_udf(_SPAN)
+def _words(nodes: pa.Array, phrases: pa.Array) -> pa.Array:
+    """The words below some phrases."""
+
+    def one(rows, wanted):
+        within, found = set(wanted), []
+        for n in rows:  # parents come first
+            if n["parent"] is not None and n["parent"] + 1 in within:
+                within.add(n["node"] + 1)
+                if n["leaf"] is not None:
+                    found.append(n["leaf"])
+        return sorted(found)
+
+    return pa.array([one(n or [], w or []) for n, w in zip(nodes.to_pylist(), phrases.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+
+def phrase_trees(sentences: DataFrame) -> DataFrame:
+    """Sentences seen as phrase-structure trees, for ``induce`` and ``match``: phrases are tokens (numbered from 1), edges go down, the lemma of a word's own phrase is the word."""
+    return sentences.withColumn("_v", _phrases("nodes")).withColumns({"tokens": F.col("_v.tokens"), "edges": F.col("_v.edges")}).drop("_v")
+
+
+def on_phrases(instances: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Instances over ``phrase_trees``: each connective word is its own phrase, each argument the lowest one that covers it."""
+    r = instances.join(sentences.select(*SENT, "nodes"), list(SENT))
+    own = lambda w: F.get(F.filter("nodes", lambda n: n["leaf"] == w), F.lit(0))["parent"] + 1
+    r = r.withColumn("_w", F.array_sort(F.transform("connective", own))).withColumns({c: _covering("nodes", c) for c in ("cause", "effect")})
+    return r.withColumn("connective", F.col("_w")).drop("_w", "nodes").select(*instances.columns)
+
+
+def on_words(matches: DataFrame, sentences: DataFrame) -> DataFrame:
+    """Matches over ``phrase_trees`` as words again; arguments are all words of their phrases."""
+    r = matches.join(sentences.select(*SENT, "nodes"), list(SENT))
+    return r.withColumns({"connective": _words("nodes", "connective"), "cause": _words("nodes", F.array("cause")), "effect": _words("nodes", F.array("effect"))}).select(*matches.columns)
+
+
 def candidates(matches: DataFrame, gold: DataFrame | None = None) -> DataFrame:
     """One candidate for each (connective, cause, effect) with its patterns, linked to the gold instance of the same connective."""
     c = matches.groupBy(*SENT, "connective", "cause", "effect").agg(F.array_sort(F.collect_set("pattern_id")).alias("patterns"), F.max(F.col("steiners") > 0).alias("has_steiner"))
-    c = c.select(*SENT, F.concat_ws("|", F.array_join("connective", "-"), "cause", "effect").alias("cand_id"), "patterns", "has_steiner", "connective", F.array("cause").alias("cause"), F.array("effect").alias("effect"))
+    whole = isinstance(matches.schema["cause"].dataType, T.ArrayType)
+    name = lambda x: F.array_join(x, "-") if whole else F.col(x).cast("string")
+    span = lambda x: (F.col(x) if whole else F.array(x)).alias(x)
+    c = c.select(*SENT, F.concat_ws("|", F.array_join("connective", "-"), name("cause"), name("effect")).alias("cand_id"), "patterns", "has_steiner", "connective", span("cause"), span("effect"))
     return link(c, gold)
 
 

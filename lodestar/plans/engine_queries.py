@@ -370,6 +370,77 @@ def _(spark, d):
     return relations.differences(m).groupBy("difference").agg(F.count("*").alias("n"))
 
 
+# --- learned patterns
+
+
+@query("e_tree_patterns", f"""
+WITH {_C}, pat AS (SELECT DISTINCT lem[p] AS lemma, lab[2 * p] AS below FROM c WHERE 2 * p <= n),
+m AS (SELECT doc_id, sent_id, i, unnest([2 * i, 2 * i + 1]) AS x, lemma, n, lab FROM (SELECT *, unnest(lem) AS lemma, generate_subscripts(lem, 1) AS i FROM s) WHERE i >= 2)
+SELECT doc_id, sent_id, CAST(i AS INTEGER) AS connective, CAST(i // 2 AS INTEGER) AS cause, CAST(min(x) AS INTEGER) AS effect FROM m JOIN pat ON pat.lemma = m.lemma AND pat.below = m.lab[m.x] WHERE x <= n GROUP BY doc_id, sent_id, i, lab[x]
+""")
+def _(spark, d):
+    """Patterns of a connective between the word it hangs on and its first own child, learned from all candidates that have one, and found everywhere."""
+    s = cut(parsed(spark, d))
+    c = candidates(s)
+    n = s.select("doc_id", "sent_id", (F.size("tokens") - 1).alias("n"))
+    own = c.join(n, ["doc_id", "sent_id"]).filter(2 * F.col("p") <= F.col("n")).withColumns({"cause": F.array(F.floor(F.col("p") / 2).cast("int")), "effect": F.array((2 * F.col("p")).cast("int"))})
+    learned = cut(patterns.induce(instances(own), s))
+    return patterns.match(s, learned).select("doc_id", "sent_id", F.col("connective")[0].alias("connective"), "cause", "effect")
+
+
+@query("e_surface_patterns", f"""
+WITH {_C}, r AS (SELECT doc_id, sent_id, p, lem[p] AS lemma, p - row_number() OVER (PARTITION BY doc_id, sent_id, lem[p] ORDER BY p) AS island FROM c),
+k AS (SELECT *, p - min(p) OVER (PARTITION BY doc_id, sent_id, lemma, island) AS nth FROM r) SELECT doc_id, sent_id, CAST(p AS INTEGER) AS connective FROM k WHERE nth % 2 = 0
+""")
+def _(spark, d):
+    """Patterns of all candidates, found everywhere; a search goes on behind the connective it found, and a word of the cause has to stand between."""
+    s = cut(parsed(spark, d))
+    learned = [tuple(r) for r in surface.learn(instances(candidates(s)), s).orderBy("pattern").collect()]  # a model: one row per learned pattern
+    return surface.search(s, learned).select("doc_id", "sent_id", F.col("connective")[0].alias("connective"))
+
+
+@query("e_argument_lemmas", f"WITH {_C} SELECT DISTINCT lem[p] AS pattern_id, lem[p] AS lemma FROM c WHERE p % 2 = 0")
+def _(spark, d):
+    """Connective words inside gold arguments; here every second place is in its own cause."""
+    s = cut(parsed(spark, d))
+    c = candidates(s)
+    gold = instances(c.withColumn("cause", F.when(F.col("p") % 2 == 0, F.array_append("cause", F.col("p"))).otherwise(F.col("cause"))))
+    return graphs.lemmas_in_arguments(patterns.link(c, gold), gold, s)
+
+
+_SCORES = "k AS (SELECT lem[p] AS lemma, p % 3 <> 0 AS label, (p % 10) / 10.0::DOUBLE AS g, (we - 1)::DOUBLE AS m, CASE WHEN p % 4 <> 0 THEN (p % 7) / 7.0::DOUBLE END AS q FROM c)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    c = candidates(cut(parsed(spark, d)))
+    p = F.col("p")
+    return c.select(
+        "doc_id", "sent_id", "cand_id", F.col("patterns")[0].alias("lemma"), (p % 3 != 0).alias("label"), ((p % 10) / F.lit(10.0)).alias("global_score"), (F.size("effect") - 1).cast("double").alias("mostfreq_score"),
+        F.when(p % 4 != 0, (p % 7) / F.lit(7.0)).alias("perconn_score"),
+    )
+
+
+@query("e_vote_weights", f"""
+WITH {_C}, {_SCORES}, w AS (SELECT lemma, avg(CASE WHEN label THEN g ELSE 1 - g END) AS g, avg(CASE WHEN label THEN m ELSE 1 - m END) AS m, coalesce(avg(CASE WHEN label THEN q ELSE 1 - q END), 0) AS q FROM k GROUP BY lemma)
+SELECT lemma, round(coalesce(g / nullif(g + m + q, 0), 1 / 3.0), 6) AS global_weight, round(coalesce(m / nullif(g + m + q, 0), 1 / 3.0), 6) AS mostfreq_weight, round(coalesce(q / nullif(g + m + q, 0), 1 / 3.0), 6) AS perconn_weight FROM w
+""")
+def _(spark, d):
+    """weights of the classifiers per connective, from how probable each finds the right answers."""
+    w = models.vote_weights(_scored(spark, d), key="lemma")
+    return w.select("lemma", *[F.round(f"{n}_weight", 6).alias(f"{n}_weight") for n in models.NAMES])
+
+
+@query("e_score_bins", f"""
+WITH {_C}, {_SCORES}, v AS (SELECT label, unnest([{{'c': 'weighted', 's': (g + m + coalesce(q, 0)) / (2 + (q IS NOT NULL)::INT)}}, {{'c': 'global', 's': g}}, {{'c': 'mostfreq', 's': m}}, {{'c': 'perconn', 's': q}}]) AS x FROM k)
+SELECT x.c AS classifier, label, CAST(least(floor(round(x.s, 9) * 4), 3) AS INTEGER) AS bin, count(*) AS n FROM v WHERE x.s IS NOT NULL GROUP BY ALL
+""")
+def _(spark, d):
+    """the soft vote and its parts, counted by label and bin."""
+    s = _scored(spark, d)
+    s = s.withColumn("score", filtering.soft_vote([f"{n}_score" for n in models.NAMES])).withColumns({c: F.round(c, 9) for c in ("score", *[f"{n}_score" for n in models.NAMES])})
+    return models.score_bins(models.saved_scores(s), bins=4)
+
+
 # --- single relations
 
 

@@ -40,6 +40,10 @@ class Options:
     diff_correctness: bool | None = None
     global_for_all_same: bool = True
     filter_overlapping: bool = True
+    pattern_type: str = "dependency"
+    auto_weight: bool = False
+    tuning_share: float = 0.5
+    weight_slope: float | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -49,23 +53,25 @@ class Stage:
 
 
 class TreeStage(Stage):
-    """Candidates by tree patterns over activated sentences, arguments grown to spans."""
+    """Candidates by tree patterns over activated sentences or over phrase-structure trees, arguments grown to spans."""
 
     def __init__(self, o: Options):
-        self.o, self.patterns, self.active = o, None, (None, None)
+        self.o, self.patterns, self.active, self.phrases = o, None, (None, None), o.pattern_type == "constituency"
 
     def activated(self, sentences):
         """Rewritten sentences, kept while the same ones are worked on."""
         if self.active[0] is not sentences:
-            self.active = sentences, cut(patterns.activated(sentences))
+            self.active = sentences, cut(patterns.phrase_trees(sentences) if self.phrases else patterns.activated(sentences))
         return self.active[1]
 
     def fit(self, sentences, gold):
-        learned = patterns.induce(gold, self.activated(sentences), self.o.max_steiners)
+        own = patterns.on_phrases(gold, sentences) if self.phrases else gold
+        learned = patterns.induce(own, self.activated(sentences), self.o.max_steiners, self.phrases)
         self.patterns = sentences.sparkSession.createDataFrame(learned.collect(), learned.schema)  # a model: one row per learned pattern
 
     def candidates(self, sentences, gold=None):
-        c = patterns.candidates(patterns.match(self.activated(sentences), self.patterns), gold)
+        found = patterns.match(self.activated(sentences), self.patterns)
+        c = patterns.candidates(patterns.on_words(found, sentences) if self.phrases else found, gold)
         return graphs.expand_spans(c, sentences).drop("moved")
 
 
@@ -98,11 +104,15 @@ class VoteFilter(Stage):
     def fit(self, candidates, sentences, gold):
         r = cut(models.labels(self.rows(candidates, sentences), gold, self.diff))
         self.model = models.fit_global(r.select("x", "label"), self.o.classifier, k_best=self.o.feature_select_k, ratio=self.o.rebalance_ratio)
-        self.per = cut(models.fit_connectives(r.select("connective_lemmas", "x", "label")))
+        known = models.training_share(r, self.o.tuning_share) if self.o.auto_weight else r
+        self.per = cut(models.fit_connectives(known.select("connective_lemmas", "x", "label")))
+        self.weights = cut(models.vote_weights(self.scores(r), slope=self.o.weight_slope)) if self.o.auto_weight else None
+
+    def scores(self, rows, weights=None):
+        return models.score(rows, self.model, self.per, classifiers=self.o.classifiers, weights=weights, global_for_all_same=self.o.global_for_all_same)
 
     def keep(self, candidates, sentences):
-        s = models.score(cut(self.rows(candidates, sentences)), self.model, self.per, classifiers=self.o.classifiers, global_for_all_same=self.o.global_for_all_same)
-        return models.decide(cut(s), self.o.cutoff)
+        return models.decide(cut(self.scores(cut(self.rows(candidates, sentences)), self.weights)), self.o.cutoff)
 
 
 class PriorFilter(Stage):

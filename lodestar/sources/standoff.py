@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from lodestar.functions.text import shift_by_quotes
 from lodestar.plans.staging import cut
 from lodestar.schema import BINARY_DEGREES, CAUSAL_TYPES, DEGREES, OVERLAPPING_TYPES
 from lodestar.sources.parses import files
@@ -184,3 +185,24 @@ def trimmed(sentences: DataFrame, first: int, last: int) -> DataFrame:
     s = s.withColumn("_b", base)
     moved = F.transform("tokens", lambda t: t.withField("start", t["start"] - F.col("_b")).withField("end", t["end"] - F.col("_b")))
     return s.select("doc_id", (F.col("sent_id") - first).alias("sent_id"), (F.col("start") - F.col("_b")).alias("start"), (F.col("end") - F.col("_b")).alias("end"), "text", moved.alias("tokens"), "edges", "nodes")
+
+
+def corrected_lines(lines: DataFrame, originals: DataFrame) -> DataFrame:
+    """Annotation lines (doc_id, line_no, line) whose span offsets allow for texts in which double quotes became two characters.
+
+    originals: (doc_id, text) before the quotes were rewritten. Lines of other kinds, of texts that aren't there, and malformed ones stay as they are.
+    """
+    f = F.split("line", "\t")
+    parts = F.split(F.get(f, F.lit(1)), "(?<=[ ;])|(?=[ ;])")
+    moved = F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), shift_by_quotes(F.col("text"), p.cast("int")).cast("string")).otherwise(p)), "")
+    span = F.col("line").rlike(r"^T[^\t]*\t[^ \t]+ [0-9]+ [0-9]+(;[0-9]+ [0-9]+)*\t") & F.col("text").isNotNull()
+    new = F.concat_ws("\t", F.get(f, F.lit(0)), moved, F.array_join(F.slice(f, 3, 1 << 30), "\t"))
+    return lines.join(originals.select("doc_id", "text"), "doc_id", "left").select("doc_id", "line_no", F.when(span, new).otherwise(F.col("line")).alias("line"))
+
+
+def correct_offsets(spark: SparkSession, originals: str, annotations: str, target: str) -> None:
+    """The annotations of one folder with corrected offsets, written under ``target`` as text, a folder for each base name; the sources stay as they are."""
+    base = F.regexp_extract("doc_id", "([^/]*)$", 1)
+    texts = files(spark, originals, "*.txt").select(base.alias("doc_id"), F.col("content").alias("text"))
+    fixed = corrected_lines(annotation_lines(spark, annotations).withColumn("doc_id", base), texts)
+    fixed.repartition("doc_id").sortWithinPartitions("doc_id", "line_no").select("doc_id", F.col("line").alias("value")).write.partitionBy("doc_id").text(target)
