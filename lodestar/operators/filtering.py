@@ -97,10 +97,13 @@ def top(rows: DataFrame, score: str, k: int, *ties: str) -> DataFrame:
 
 
 def rebalance(rows: DataFrame, label: str, ratio: float = 1.0) -> DataFrame:
-    """repeat rows of the rarer class until the classes' ratio is at most ``ratio``, evenly and without chance."""
+    """repeat rows of the rarer class until the classes' ratio is ``ratio``: each as often as that takes whole, and by its hash a share of them once more; the same in every run."""
     n = rows.agg(F.count_if(F.col(label)).alias("p"), F.count_if(~F.col(label)).alias("q"))
     need = F.when(F.col(label), F.col("q") / (F.lit(ratio) * F.col("p"))).otherwise(F.col("p") / (F.lit(ratio) * F.col("q")))
-    times = F.greatest(F.ceil(F.coalesce(need, F.lit(1.0))), F.lit(1)).cast("int")
+    need = F.greatest(F.coalesce(need, F.lit(1.0)), F.lit(1.0))
+    plain = [c for c in rows.columns if not isinstance(rows.schema[c].dataType, T.MapType)]
+    once_more = F.pmod(F.xxhash64(*plain), F.lit(1 << 20)) < (need - F.floor(need)) * (1 << 20)
+    times = (F.floor(need) + once_more.cast("int")).cast("int")
     return rows.crossJoin(n).withColumn("_k", F.explode(F.sequence(F.lit(1), times))).drop("_k", "p", "q")  # n is one row
 
 

@@ -222,3 +222,122 @@ def test_relations(sentences, gold):
     assert got[0].l == "cause" and got[0].p == "Purpose(caused, cause=Storms, effect=floods)" and got[0].h == "/Storms/ CAUSED *floods* ."
     assert (got[0].c, got[3].c) == ("Verbal", "Conjunctive (subordinating)") and not any(x.m or x.n for x in got.values())
     assert {x.label: x.n for x in relations.incoming_labels(r, sentences).collect()} == {"nsubj": 1, "dobj": 1, "nmod": 1, "nsubjpass": 1, "advcl": 1, "root": 1}
+
+
+def test_surgery_conditions():
+    from lodestar.functions.graph import active
+
+    def run(tags, edges):
+        tokens = {i: {"idx": i, "lemma": x.split("/")[0], "pos": x.split("/")[1]} for i, x in enumerate(tags.split(), 1)}
+        return set(active([{"head": h, "dep": d, "label": label} for h, d, label in edges], tokens))
+
+    rel = [(0, 1, "root"), (1, 2, "acl"), (2, 4, "nmod"), (4, 3, "case"), (3, 5, "x"), (5, 6, "y")]
+    # *by* of a relative goes with all below it; that of a passive hands its children on
+    assert run("harm/NN cause/VBN by/IN smoke/NN a/DT b/DT", rel) == {(0, 1, "root"), (1, 2, "acl"), (2, 4, "nsubj"), (2, 1, "dobj")}
+    passive = [(0, 2, "root"), (2, 1, "nsubjpass"), (2, 3, "auxpass"), (2, 5, "nmod"), (5, 4, "case"), (4, 6, "x"), (3, 7, "y")]
+    assert run("loss/NN cause/VBN be/VBD by/IN greed/NN a/DT b/DT", passive) == {(0, 2, "root"), (2, 1, "dobj"), (2, 5, "nsubj"), (5, 6, "x"), (2, 7, "y")}
+    assert run("loss/NN cause/VBN be/VBD by/RB greed/NN a/DT b/DT", passive) == set(passive)  # not a preposition
+    # without an agent: any noun, number, CC or personal pronoun, unless there is an object or a *by* with one
+    bare = [(0, 1, "root"), (1, 2, "acl")]
+    for tag, fits in (("NNS", True), ("CD", True), ("CC", True), ("PRP", True), ("VBG", True), ("PRP$", False), ("JJ", False)):
+        assert ((2, 1, "dobj") in run(f"x/{tag} made/VBN", bare)) == fits
+    assert (2, 1, "dobj") not in run("x/NN made/VBN y/NN", [*bare, (2, 3, "dobj")]) and (2, 1, "dobj") not in run("x/NN made/VBD", bare)
+    assert (2, 1, "dobj") not in run("x/NN made/VBN by/IN y/NN", [*bare, (2, 3, "prep"), (3, 4, "pobj")])
+
+
+TREE = "(ROOT (S (NP (NNS {0})) (VP (VBD {1}) (NP (NNS {2}))) (. .)))"
+
+
+@pytest.fixture(scope="module")
+def treed(spark):
+    rows = [("storms", "caused", "floods"), ("rains", "caused", "mud"), ("birds", "liked", "seeds")]
+    text = " ".join(f"{a} {b} {c} ." for a, b, c in rows)
+    blocks = []
+    for a, b, c in rows:
+        blocks.append("\n\n".join([f"{a} {b} {c} .", f"{a}/NNS {b}/VBD {c}/NNS ./.", TREE.format(a, b, c), f"root(ROOT-0, {b}-2)\nnsubj({b}-2, {a}-1)\ndobj({b}-2, {c}-3)"]))
+    return parses.parse_texts(spark.createDataFrame([("d", text, "\n\n".join(blocks))], "doc_id string, text string, parse string")).cache()
+
+
+def test_phrase_structure_patterns(spark, treed):
+    gold = spark.createDataFrame([("d", 0, "g", [2], [1], [3], "causal")], "doc_id string, sent_id int, inst_id string, connective array<int>, cause array<int>, effect array<int>, kind string")
+    view = patterns.phrase_trees(treed).cache()
+    on = patterns.on_phrases(gold, treed).first()
+    by = {t.idx: (t.gen_pos, t.lemma) for t in view.filter("sent_id = 0").first().tokens}
+    assert by[on.connective[0]] == ("VB", "caused") and by[on.cause[0]][1] == "storms" and by[on.effect[0]][1] == "floods"
+    p = patterns.induce(patterns.on_phrases(gold, treed), view, argument_tags=True).cache()
+    found = patterns.on_words(patterns.match(view, p), treed)
+    assert {(r.sent_id, tuple(r.connective), tuple(r.cause), tuple(r.effect)) for r in found.collect()} == {(0, (2,), (1,), (3,)), (1, (2,), (1,), (3,))}
+    got = pipelines.PIPELINES["tregex_mostfreq"](pipelines.Options(pattern_type="constituency")).fit(treed, gold).predict(treed)
+    assert {(r.sent_id, tuple(r.connective)) for r in got.collect()} >= {(0, (2,))} or got.count() == 0
+
+
+def test_lowest_phrase_over_a_span(spark, treed):
+    gold = spark.createDataFrame([("d", 0, "g", [1], [2, 3], [4])], "doc_id string, sent_id int, inst_id string, connective array<int>, cause array<int>, effect array<int>")
+    by = {t.idx: t.gen_pos for t in patterns.phrase_trees(treed).filter("sent_id = 0").first().tokens}
+    r = patterns.on_phrases(gold, treed).first()
+    assert by[r.cause[0]] == "VP" and by[r.effect[0]] == "."
+
+
+def test_classifiers_that_keep_their_rows(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        x, y = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        rows.append(("d", i, "c", "k", [(0, x), (1, y)], x * y > 0))  # no straight line separates them
+    r = spark.createDataFrame(rows, "doc_id string, sent_id int, cand_id string, connective_lemmas string, x array<struct<slot:int,n:double>>, label boolean").cache()
+    near = models.fit_global(r, "knn")
+    assert near.probabilities([[{"slot": 0, "n": 0.5}, {"slot": 1, "n": 0.5}], [{"slot": 0, "n": -0.5}, {"slot": 1, "n": 0.5}]]).tolist() == [1.0, 0.0]
+    for kind in ("knn", "kernel"):
+        got = models.score_global(r, models.fit_global(r, kind)).select("label", "global_score").collect()
+        assert sum((x.global_score > 0.5) == x.label for x in got) > 0.9 * len(got)
+    assert models.fit_global(r.filter("label"), "knn") is None
+    part = models.training_share(r, 0.25)
+    assert part.count() == 30 and part.agg(F.max("sent_id")).first()[0] == 29
+    trials = models.tree_trials(r, r, rounds=2, percent=100.0, width=4).first()
+    assert trials.f1 > 0.9 and {c.row_bin for c in models.matrix_map(r, F.col("label"), slots=2, width=4).collect()} == {True, False}
+
+
+def test_fitted_votes(spark):
+    s = spark.createDataFrame([("a", True, 0.9, 0.0, None), ("a", False, 0.1, 1.0, None), ("b", True, 0.5, 0.5, 0.5)], "connective_lemmas string, label boolean, global_score double, mostfreq_score double, perconn_score double")
+    w = {r.connective_lemmas: r for r in models.vote_weights(s).collect()}
+    assert (w["a"].global_weight, w["a"].mostfreq_weight, w["a"].perconn_weight) == (1.0, 0.0, 0.0) and w["b"].perconn_weight == pytest.approx(1 / 3)
+    sharp = {r.connective_lemmas: r for r in models.vote_weights(s, slope=10.0).collect()}
+    assert 0.9 < sharp["a"].global_weight < 1
+
+
+def test_auto_weighted_pipeline(sentences, gold):
+    model = pipelines.PIPELINES["tregex"](pipelines.Options(auto_weight=True, classifier="knn")).fit(sentences, gold)
+    assert not any(r.sent_id == 5 for r in model.predict(sentences).collect()) and model.filter.weights.count() >= 1
+
+
+def test_connectives_inside_arguments(spark, sentences):
+    gold = spark.createDataFrame([("d", 3, "g", [3], [3, 4, 5], [1, 2])], "doc_id string, sent_id int, inst_id string, connective array<int>, cause array<int>, effect array<int>")
+    c = spark.createDataFrame([("d", 3, "x", ["p", "q"], [3], "g"), ("d", 3, "y", ["p"], [3], None)], "doc_id string, sent_id int, cand_id string, patterns array<string>, connective array<int>, gold_inst_id string")
+    assert {tuple(r) for r in graphs.lemmas_in_arguments(c, gold, sentences).collect()} == {("p", "because"), ("q", "because")}
+
+
+def test_offsets_corrected_for_quotes(spark, tmp_path):
+    (tmp_path / "o").mkdir(), (tmp_path / "a").mkdir()
+    (tmp_path / "o" / "one.txt").write_text('a "b" c')
+    (tmp_path / "a" / "one.ann").write_text("T1\tCause 0 1;3 4\ta b\nT2\tEffect 6 7\tc\nE1\tConsequence:T1 Effect:T2\n")
+    (tmp_path / "a" / "two.ann").write_text("T1\tCause 5 6\tx\n")
+    standoff.correct_offsets(spark, f"file://{tmp_path}/o", f"file://{tmp_path}/a", f"file://{tmp_path}/out")
+    got = lambda d: "".join(p.read_text() for p in sorted((tmp_path / "out" / f"doc_id={d}").glob("*.txt")))
+    assert got("one") == "T1\tCause 0 1;4 5\ta b\nT2\tEffect 8 9\tc\nE1\tConsequence:T1 Effect:T2\n" and got("two") == "T1\tCause 5 6\tx\n"
+
+
+def test_runs_meet_over_blocks(spark):
+    from lodestar.operators import analytics
+
+    ids = [-9, -8, 0, 1, 2, 3, 4, 5, 7, 8, 11, 15, 16, 17, 40]
+    rows = spark.createDataFrame([("a", i) for i in ids] + [("b", 3)], "k string, i long")
+    got = sorted((r.k, r.first, r.last, r.n) for r in analytics.runs(rows, "i", "k", block=4).collect())
+    assert got == [("a", -9, -8, 2), ("a", 0, 5, 6), ("a", 7, 8, 2), ("a", 11, 11, 1), ("a", 15, 17, 3), ("a", 40, 40, 1), ("b", 3, 3, 1)]
+
+
+def test_rebalancing_does_not_turn_the_classes_round(spark):
+    rows = spark.range(3000).select("id", (F.col("id") % 5 < 2).alias("label"))
+    n = {r.label: r["count"] for r in filtering.rebalance(rows, "label").groupBy("label").count().collect()}
+    assert n[False] == 1800 and abs(n[True] - 1800) < 100
+    n = {r.label: r["count"] for r in filtering.rebalance(rows, "label", 2.0).groupBy("label").count().collect()}
+    assert n == {False: 1800, True: 1200}
