@@ -6,8 +6,23 @@ from lodestar.sources import sampling
 
 def test_budget_may_overshoot_and_skips_chosen(spark):
     d = spark.createDataFrame([(i, 10) for i in range(6)], "doc_id long, n long")
-    assert [r.doc_id for r in sampling.within_budget(d, "n", 25, ["doc_id"]).collect()] == [0, 1, 2]
-    assert [r.doc_id for r in sampling.within_budget(d, "n", 25, ["doc_id"], chosen=d.filter("doc_id < 2")).collect()] == [2, 3, 4]
+    assert sorted(r.doc_id for r in sampling.within_budget(d, "n", 25, ["doc_id"]).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in sampling.within_budget(d, "n", 25, ["doc_id"], chosen=d.filter("doc_id < 2")).collect()) == [2, 3, 4]
+
+
+def test_budget_over_ranges_equals_the_running_sum(spark):
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else "b", (i * 37) % 501, i % 11 if i % 13 else None) for i in range(500)]
+    d = spark.createDataFrame(rows, "s string, doc_id long, n long")
+    for budget in (0, 40, 700, 10**6):
+        want = set()
+        for key in {r[0] for r in rows}:
+            spent = 0
+            for _, i, n in sorted((r for r in rows if r[0] == key), key=lambda r: -r[1]):
+                if spent < budget:
+                    want.add(i)
+                spent += n or 0
+        got = [r.doc_id for r in sampling.within_budget(d, "n", budget, [F.desc("doc_id")], "s").collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_prefixes(spark):
