@@ -72,8 +72,13 @@ def locate(spans: DataFrame, sentences: DataFrame) -> DataFrame:
     """
     s = sentences.select("doc_id", "sent_id", "start", "end", "tokens")
     following = s.withColumn("next", F.coalesce(F.lead("start").over(Window.partitionBy("doc_id").orderBy("sent_id")), F.col("end")))
-    at = spans.select("doc_id", "ann_id", "frags", F.get("frags", F.lit(0))["start"].alias("at"))
-    inside = at.join(following, "doc_id").filter((F.col("start") <= F.col("at")) & (F.col("at") < F.col("next")))
+    none = lambda t: F.lit(None).cast(t)
+    starts = following.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct("sent_id", "next").alias("s"), none("string").alias("ann_id"), none(_FRAGMENTS).alias("frags"))
+    at = spans.select("doc_id", F.get("frags", F.lit(0))["start"].alias("at"), F.lit(1).alias("kind"), none("struct<sent_id:int,next:int>").alias("s"), "ann_id", "frags")
+    # the last sentence that starts at or before a span: sorted together, not every sentence of a document with every span
+    before = Window.partitionBy("doc_id").orderBy("at", "kind", "s.sent_id").rowsBetween(Window.unboundedPreceding, 0)
+    asof = starts.unionByName(at).withColumn("s", F.last("s", ignorenulls=True).over(before)).filter((F.col("kind") == 1) & (F.col("at") < F.col("s.next")))
+    inside = asof.select("doc_id", F.col("s.sent_id").alias("sent_id"), "ann_id", "frags").join(s.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"])
     real = F.filter("tokens", lambda t: t["start"].isNotNull())
     overlaps = lambda t: F.exists("frags", lambda f: (t["start"] < f["end"]) & (t["end"] > f["start"]))
     touches = lambda t: F.exists("frags", lambda f: (t["end"] == f["start"]) & ~F.exists(real, lambda o: (o["start"] <= f["start"]) & (o["end"] > f["start"])))
