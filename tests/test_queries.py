@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import numpy as np
@@ -63,3 +64,9 @@ def test_saturation_fit(spark):
 def test_folds_are_stable(spark):
     a = [r[0] for r in spark.range(100).select(filtering.folds("id", 5)).collect()]
     assert a == [r[0] for r in spark.range(100).select(filtering.folds("id", 5)).collect()] and set(a) == set(range(5))
+
+
+@pytest.mark.parametrize("name", ["e_heads"])
+def test_sentences_are_neither_stored_nor_joined(spark, name):
+    plan = catalog.QUERIES[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and not re.search(r"Join .*\n(.*\n)*.*MapInArrow", plan)  # no checkpoint, and no join above a parse
