@@ -16,9 +16,9 @@ STOP_LEMMAS = ("be", "have", "do")
 KEY = ("lemmas", "cause_path", "effect_path")
 
 
-def lexicon(instances: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Distinct lemma tuples of connectives, in token order."""
-    r = instances.join(sentences.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"])
+def lexicon(instances: DataFrame, sentences: DataFrame | None) -> DataFrame:
+    """Distinct lemma tuples of connectives, in token order. Without sentences, instances carry the tokens of theirs."""
+    r = instances if sentences is None else instances.join(sentences.select("doc_id", "sent_id", "tokens"), ["doc_id", "sent_id"])
     lemma = lambda i: F.get(F.filter("tokens", lambda t: t["idx"] == i), F.lit(0))["lemma"]
     return r.filter(F.size("connective") > 0).select(F.transform(F.array_sort("connective"), lemma).alias("lemmas")).distinct()
 
