@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lodestar.functions.graph import SentenceGraph, of_row, tense
+from lodestar.functions.graph import SentenceGraph, graph_of, of_row, tense
+from lodestar.operators.graphs import in_sentences
 from lodestar.operators.patterns import SENT
 from lodestar.operators.tokens import CLOSED
+from lodestar.plans.staging import staged
 
 MAX_WORDS, MAX_PATH, LEAST_HOLDERS = 10, 4, 4
 ROW = "doc_id string, sent_id int, cand_id string, feature string, value string, number double"
@@ -25,9 +27,9 @@ ROW = "doc_id string, sent_id int, cand_id string, feature string, value string,
 class View:
     """A candidate and its sentence."""
 
-    def __init__(self, row, hypernyms: Mapping[str, Sequence[str]], vectors: Mapping[str, Sequence[float]], ner: Mapping[int, str]):
+    def __init__(self, row, hypernyms: Mapping[str, Sequence[str]], vectors: Mapping[str, Sequence[float]], ner: Mapping[int, str], graph: SentenceGraph | None = None):
         self.tokens = {int(t["idx"]): t for t in row.tokens}
-        self.graph: SentenceGraph = of_row(row.edges)
+        self.graph: SentenceGraph = graph or of_row(row.edges)
         self.patterns = list(row.patterns)
         self.args = {k: sorted(int(x) for x in getattr(row, k)) for k in ("connective", "cause", "effect")}
         self.head = {k: self.graph.head(v) for k, v in self.args.items()}
@@ -154,22 +156,29 @@ def values(v: View, name: str) -> list[tuple[str, float | None]]:
 
 
 def extract(candidates: DataFrame, sentences: DataFrame, names: Sequence[str] = DEFAULT, hypernyms: Mapping | None = None, vectors: Mapping | None = None, ner: DataFrame | None = None) -> DataFrame:
-    """ROW rows of candidates that have both arguments (F01). ner: (doc_id, sent_id, ner map<int,string>), N01's tags from any tagger."""
-    rows = candidates.filter("size(cause) > 0 and size(effect) > 0").select(*SENT, "cand_id", "patterns", "connective", "cause", "effect").join(sentences.select(*SENT, "tokens", "edges"), list(SENT))
-    rows = rows.join(ner, list(SENT), "left") if ner is not None else rows.withColumn("ner", F.lit(None).cast("map<int,string>"))
+    """ROW rows of candidates that have both arguments (F01). ner: (doc_id, sent_id, ner map<int,string>), N01's tags from any tagger. Without sentences, candidates are in ``rows`` of their sentences (``in_sentences``)."""
+    if sentences is None:
+        rows = candidates.withColumn("rows", F.filter("rows", lambda r: (F.size(r["cause"]) > 0) & (F.size(r["effect"]) > 0)))
+    else:
+        rows = candidates.filter("size(cause) > 0 and size(effect) > 0").select(*SENT, "cand_id", "patterns", "connective", "cause", "effect")
+    carried = ["tokens", "edges"]
+    if ner is not None:
+        rows = rows.join(ner, list(SENT), "left")
+        carried += ["ner"] * (sentences is None)
     names, hypernyms, vectors = list(names), dict(hypernyms or {}), dict(vectors or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
+            graphs = graph_of()
             for r in b.itertuples():
-                v = View(r, hypernyms, vectors, dict(r.ner) if r.ner is not None else {})
+                v = View(r, hypernyms, vectors, dict(tags) if (tags := getattr(r, "ner", None)) is not None else {}, graphs(r.edges))
                 out += [(r.doc_id, r.sent_id, r.cand_id, n, x, k) for n in names for x, k in values(v, n)]
             yield pd.DataFrame(out, columns=["doc_id", "sent_id", "cand_id", "feature", "value", "number"])
 
-    got = rows.mapInPandas(run, ROW)
+    got = in_sentences(rows, sentences, carried, run, ROW)
     grams = [n for n in names if n.endswith("lemma_skipgrams")]
-    return rare_dropped(got, grams) if grams else got
+    return rare_dropped(staged(got), grams) if grams else got  # read twice
 
 
 def rare_dropped(rows: DataFrame, names: Sequence[str], least: int = LEAST_HOLDERS) -> DataFrame:
