@@ -111,11 +111,15 @@ def corpus_connective(name: str | Column) -> Column:
     return remap(F.lower(name), CORPUS_REMAPS)
 
 
-def incoming_labels(instances: DataFrame, sentences: DataFrame, both: bool = False) -> DataFrame:
-    """Labels into the heads of arguments, counted; instances carry cause_head and effect_head."""
+def incoming_labels(instances: DataFrame, sentences: DataFrame | None, both: bool = False) -> DataFrame:
+    """Labels into the heads of arguments, counted; instances carry cause_head and effect_head, and without sentences the edges of theirs."""
     r = instances.filter("cause_head is not null and effect_head is not null") if both else instances
-    h = r.select(*SENT, F.explode(F.array_compact(F.array("cause_head", "effect_head"))).alias("h")).join(sentences.select(*SENT, "edges"), list(SENT))
-    return h.select(F.explode(F.filter("edges", lambda e: e["dep"] == F.col("h"))).alias("e")).groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
+    both_heads = F.array_compact(F.array("cause_head", "effect_head"))
+    if sentences is None:
+        h = r.select(F.explode(F.flatten(F.transform(both_heads, lambda x: F.filter("edges", lambda e: e["dep"] == x)))).alias("e"))
+    else:
+        h = r.select(*SENT, F.explode(both_heads).alias("h")).join(sentences.select(*SENT, "edges"), list(SENT)).select(F.explode(F.filter("edges", lambda e: e["dep"] == F.col("h"))).alias("e"))
+    return h.groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 def differences(matches: DataFrame, properties: Sequence[str] = ("causal_type", "degree")) -> DataFrame:
