@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from lodestar.operators.graphs import in_sentences
 from lodestar.operators.patterns import SENT, link
 
 GAP = r"([\S]+ )+?"
@@ -42,19 +43,23 @@ def pattern_of(tokens: Sequence[dict], connective: Sequence[int], cause: Sequenc
     return "".join(parts), groups
 
 
-def learn(instances: DataFrame, sentences: DataFrame, include_tags: bool = True) -> DataFrame:
-    """Distinct (pattern, groups, lemmas); instances may lack arguments."""
+def learn(instances: DataFrame, sentences: DataFrame | None, include_tags: bool = True) -> DataFrame:
+    """Distinct (pattern, groups, lemmas); instances may lack arguments. Without sentences, instances are in ``rows`` of theirs (``in_sentences``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows = {}
             for tokens, conn, c, e in zip(b["tokens"], b["connective"], b["cause"], b["effect"], strict=True):
                 by = {int(t["idx"]): t["lemma"] for t in tokens}
-                rows.append((*pattern_of(tokens, conn, c, e, include_tags), sorted({by[int(x)] for x in conn})))
-            yield pd.DataFrame(rows, columns=["pattern", "groups", "lemmas"])
-
-    r = instances.filter("size(connective) > 0").join(sentences.select(*SENT, "tokens"), list(SENT))
-    return r.select("tokens", "connective", "cause", "effect").mapInPandas(run, "pattern string, groups array<int>, lemmas array<string>").dropDuplicates(["pattern"])
+                pattern, groups = pattern_of(tokens, conn, c, e, include_tags)
+                rows.setdefault(pattern, (pattern, groups, sorted({by[int(x)] for x in conn})))
+            yield pd.DataFrame(list(rows.values()), columns=["pattern", "groups", "lemmas"])
+
+    if sentences is None:
+        r = instances.withColumn("rows", F.filter("rows", lambda r: F.size(r["connective"]) > 0))
+    else:
+        r = instances.filter("size(connective) > 0").select(*SENT, "connective", "cause", "effect")
+    return in_sentences(r, sentences, ["tokens"], run, "pattern string, groups array<int>, lemmas array<string>").dropDuplicates(["pattern"])
 
 
 def hits(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
