@@ -1,7 +1,7 @@
-"""Tree patterns: edge rewriting, induction from annotated instances, and matching as a conjunctive query of joins.
+"""Tree patterns: edge rewriting, induction from annotated instances, and matching as a conjunctive query.
 
 A pattern is two small tables: its nodes (with roles, and lemma and coarse tag where they must match) and its edge tests, in an order in which each one
-has an end that is bound already. All patterns are matched together, one join with the edges of the sentences for each edge test.
+has an end that is bound already. All patterns are matched together, within the row of a sentence.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from lodestar.functions.graph import SentenceGraph, active, of_row
+from lodestar.functions.graph import SentenceGraph, active, graph_of
 from lodestar.operators.filtering import ranked
+from lodestar.operators.graphs import in_sentences
 from lodestar.schema import general_tag
 
 MAX_STEINERS = 6
@@ -87,60 +88,89 @@ def _pattern(graph: SentenceGraph, tokens: dict, connective: list[int], cause: i
     return nodes, steps, len(tree - required)
 
 
-def induce(instances: DataFrame, sentences: DataFrame, max_steiners: int = MAX_STEINERS, argument_tags: bool = False) -> DataFrame:
-    """Distinct patterns (PATTERN) of instances that have a cause and an effect, the first occurrence of each. With ``argument_tags`` tags of arguments must match, too."""
+def induce(instances: DataFrame, sentences: DataFrame | None, max_steiners: int = MAX_STEINERS, argument_tags: bool = False) -> DataFrame:
+    """Distinct patterns (PATTERN) of instances that have a cause and an effect, the first occurrence of each. With ``argument_tags`` tags of arguments must match, too. Without sentences, instances are in ``rows`` of theirs (``in_sentences``)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
+            rows, graphs = {}, graph_of()
             for d, s, i, toks, edges, conn, c, f in zip(b["doc_id"], b["sent_id"], b["inst_id"], b["tokens"], b["edges"], b["connective"], b["cause"], b["effect"], strict=True):
-                g = of_row(edges)
+                g = graphs(edges)
                 c, f = g.head(c), g.head(f)
                 found = None if c is None or f is None else _pattern(g, {int(t["idx"]): t for t in toks}, [int(x) for x in conn], c, f, max_steiners)
                 if found:
                     text = json.dumps(found, sort_keys=True)
-                    rows.append((d, s, i, hashlib.sha256(text.encode()).hexdigest()[:16], *found))
-            yield pd.DataFrame(rows, columns=["doc_id", "sent_id", "inst_id", "pattern_id", "nodes", "steps", "steiners"])
-
-    own = instances.filter("size(cause) > 0 and size(effect) > 0").select(*SENT, "inst_id", "connective", "cause", "effect")
-    rows = own.join(sentences.select(*SENT, "tokens", "edges"), list(SENT)).mapInPandas(run, f"doc_id string, sent_id int, inst_id string, {PATTERN}")
+                    if text not in rows or (d, s, i) < rows[text][:3]:  # the first of each batch is enough
+                        rows[text] = (d, s, i, hashlib.sha256(text.encode()).hexdigest()[:16], *found)
+            yield pd.DataFrame(list(rows.values()), columns=["doc_id", "sent_id", "inst_id", "pattern_id", "nodes", "steps", "steiners"])
+
+    if sentences is None:
+        own = instances.withColumn("rows", F.filter("rows", lambda r: (F.size(r["cause"]) > 0) & (F.size(r["effect"]) > 0)))
+    else:
+        own = instances.filter("size(cause) > 0 and size(effect) > 0").select(*SENT, "inst_id", "connective", "cause", "effect")
+    rows = in_sentences(own, sentences, ["tokens", "edges"], run, f"doc_id string, sent_id int, inst_id string, {PATTERN}")
     return ranked(rows, ["pattern_id"], "doc_id", "sent_id", "inst_id").select("pattern_id", "nodes", "steps", "steiners")
 
 
+def _extended(tokens: dict, below: dict, above: dict, edges: list, nodes: list, steps: list, at: list) -> list[list]:
+    """All bindings of a pattern's nodes that begin with ``at``, a step for each edge test."""
+    fits = lambda n, i: i in tokens and (nodes[n]["lemma"] is None or tokens[i]["lemma"] == nodes[n]["lemma"]) and (nodes[n]["gen_pos"] is None or tokens[i]["gen_pos"] == nodes[n]["gen_pos"])
+    states = [at]
+    for step in steps:
+        a, b, labels = step["a"], step["b"], step["labels"]
+        after = []
+        for x in states:
+            h, d = x[a], x[b]
+            for head, dep, label in below.get(h, ()) if h is not None else above.get(d, ()) if d is not None else edges:
+                if label not in labels or (d is not None and d != dep):
+                    continue
+                y = list(x)
+                y[a], y[b] = head, dep
+                bound = [i for i in y if i is not None]
+                if len(set(bound)) == len(bound) and fits(a, head) and fits(b, dep):
+                    after.append(y)
+        states = after
+    return states
+
+
 def match(sentences: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, sent_id, pattern_id, steiners, connective, cause, effect), one match for each root, the lowest indices.
 
-    Starts at the first connective word, by lemma and tag, in sentences that have all its lemmas: the one join, an equi-join with the
-    learned patterns. From there each edge test extends the partial matches from the sentence's own edges, so no later step shuffles until
-    the choice among the matches of a root. There are as many steps as the longest pattern has edges.
+    The patterns are a model and are collected. A sentence that has all lemmas of one is searched from each token that may be its first
+    connective word, by lemma and tag, along its own edges: nothing is shuffled.
     """
-    longest = patterns.agg(F.max(F.size("steps"))).first()[0] or 0
-    lemmas = F.array_compact(F.transform("nodes", lambda n: n["lemma"]))
-    root = F.get(F.filter("nodes", lambda n: F.array_contains(n["roles"], "connective_0")), F.lit(0))
-    p = patterns.select("pattern_id", "steiners", "steps", "nodes", lemmas.alias("lemmas"), root["node"].alias("root"), root["lemma"].alias("lemma"), root["gen_pos"].alias("gen_pos"))
+    learned: dict[tuple, list] = {}
+    for p in patterns.select("pattern_id", "nodes", "steps", "steiners").collect():
+        nodes = sorted((n.asDict() for n in p["nodes"]), key=lambda n: n["node"])
+        named = lambda r: [n["node"] for n in nodes if r in n["roles"]]  # noqa: B023, E731
+        conn = [n["node"] for n in nodes if any(r.startswith("connective") for r in n["roles"])]
+        for root in named("connective_0")[:1]:
+            entry = (p["pattern_id"], p["steiners"], nodes, [x.asDict() for x in p["steps"]], {n["lemma"] for n in nodes} - {None}, root, conn, named("cause")[:1], named("effect")[:1])
+            learned.setdefault((nodes[root]["lemma"], nodes[root]["gen_pos"]), []).append(entry)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, s, toks, links in zip(b["doc_id"], b["sent_id"], b["tokens"], b["edges"], strict=True):
+                starts = [(t["idx"], e) for t in toks for e in learned.get((t["lemma"], t["gen_pos"]), ())]
+                if not starts:
+                    continue
+                tokens, have = {t["idx"]: t for t in toks}, {t["lemma"] for t in toks}
+                edges = [(e["head"], e["dep"], e["label"]) for e in (links if links is not None else ())]
+                below, above = {}, {}
+                for e in edges:
+                    below.setdefault(e[0], []).append(e)
+                    above.setdefault(e[1], []).append(e)
+                for start, (name, steiners, nodes, steps, lemmas, root, conn, cause, effect) in starts:
+                    if lemmas <= have:
+                        found = [x for x in _extended(tokens, below, above, edges, nodes, steps, [start if n == root else None for n in range(len(nodes))]) if cause and effect and None not in (x[cause[0]], x[effect[0]]) and x[cause[0]] != x[effect[0]]]
+                        if found:
+                            x = min(found, key=lambda y: [-1 if i is None else i for i in y])
+                            rows.append((d, s, name, steiners, sorted(x[n] for n in conn if x[n] is not None), x[cause[0]], x[effect[0]]))
+            yield pd.DataFrame(rows, columns=["doc_id", "sent_id", "pattern_id", "steiners", "connective", "cause", "effect"])
+
     light = F.transform("tokens", lambda t: F.struct(t["idx"].alias("idx"), t["lemma"].alias("lemma"), t["gen_pos"].alias("gen_pos")))
-    s = sentences.select(*SENT, light.alias("tokens"), "edges", F.explode(light).alias("t"))
-    s = s.select(*SENT, "tokens", "edges", "t.idx", "t.lemma", "t.gen_pos")
-    state = s.join(p, ["lemma", "gen_pos"]).filter(F.size(F.array_except("lemmas", F.transform("tokens", lambda t: t["lemma"]))) == 0)
-    state = state.select(*SENT, "tokens", "edges", "pattern_id", "steiners", "steps", "nodes", F.col("idx").alias("start"), F.transform("nodes", lambda n: F.when(n["node"] == F.col("root"), F.col("idx"))).alias("at"))
-    for k in range(longest):
-        step = F.get("steps", F.lit(k))
-        a, b = F.get("at", step["a"]), F.get("at", step["b"])
-        fits = F.filter("edges", lambda e: F.array_contains(step["labels"], e["label"]) & F.coalesce(a == e["head"], F.lit(True)) & F.coalesce(b == e["dep"], F.lit(True)))
-        # a pattern with fewer edges goes through unchanged; the bound nodes are what is exploded, so that no later step repeats this one's terms
-        at = lambda e: F.transform("nodes", lambda n, i: F.when(n["node"] == step["a"], e["head"]).when(n["node"] == step["b"], e["dep"]).otherwise(F.get("at", i)))  # noqa: B023, E731
-        columns = [c for c in state.columns if c != "at"]
-        state = state.select(*columns, F.explode(F.when(step.isNull(), F.array("at")).otherwise(F.transform(fits, at))).alias("at"))
-        token = lambda i: F.get(F.filter("tokens", lambda t: t["idx"] == i), F.lit(0))
-        same = lambda z, c: z["nodes"][c].isNull() | F.coalesce(token(z["at"])[c] == z["nodes"][c], F.lit(False))  # noqa: B023, E731
-        legal = F.forall(F.arrays_zip("nodes", "at"), lambda z: z["at"].isNull() | (same(z, "lemma") & same(z, "gen_pos")))  # noqa: B023
-        bound = F.filter("at", lambda x: x.isNotNull())
-        state = state.filter(legal & (F.size(F.array_distinct(bound)) == F.size(bound)))
-    pairs = F.arrays_zip("nodes", "at")
-    role = lambda r: F.get(F.transform(F.filter(pairs, lambda z: F.array_contains(z["nodes"]["roles"], r)), lambda z: z["at"]), F.lit(0))
-    conn = F.array_sort(F.transform(F.filter(pairs, lambda z: F.exists(z["nodes"]["roles"], lambda r: r.startswith("connective"))), lambda z: z["at"]))
-    found = state.select(*SENT, "pattern_id", "steiners", "start", conn.alias("connective"), role("cause").alias("cause"), role("effect").alias("effect"), "at").filter("cause <> effect")
-    return ranked(found, [*SENT, "pattern_id", "start"], "at").drop("at", "start")
+    return sentences.select(*SENT, light.alias("tokens"), "edges").mapInPandas(run, "doc_id string, sent_id int, pattern_id string, steiners int, connective array<int>, cause int, effect int")
 
 
 _VIEW = T.StructType([T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("lemma", T.StringType()), T.StructField("gen_pos", T.StringType())]))), T.StructField("edges", _EDGES)])
