@@ -70,3 +70,8 @@ def test_folds_are_stable(spark):
 def test_sentences_are_neither_stored_nor_joined(spark, name):
     plan = catalog.QUERIES[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and not re.search(r"Join .*\n(.*\n)*.*MapInArrow", plan)  # no checkpoint, and no join above a parse
+
+
+def test_pairs_leave_other_sentences_out_of_python(spark):
+    plan = catalog.QUERIES["e_baseline_pairs"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" in plan
