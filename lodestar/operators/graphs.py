@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -37,6 +38,41 @@ def paths(sentences: DataFrame, radius: int) -> DataFrame:
     return sentences.select("doc_id", "sent_id", "edges").mapInPandas(run, "doc_id string, sent_id int, a int, b int, labels array<string>")
 
 
+def path_counts(sentences: DataFrame, radius: int) -> DataFrame:
+    """(labels, n): ``paths`` counted by labels. Each batch is counted before it leaves Python, so that pairs of tokens are never rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            for e in b["edges"]:
+                g = of_row(e)
+                near = {x: _steps(g, x) for x in g.depth if x}
+                if radius == 2:
+                    for x, first in near.items():
+                        done = {x: None}
+                        for y, label in first:
+                            if y not in done:
+                                done[y] = label
+                        level = [(y, label) for y, label in done.items() if y != x]
+                        seen.update([(label,) for y, label in level if y in g.depth])
+                        for y, label in level:
+                            for z, more in near.get(y) or _steps(g, y):
+                                if z not in done:
+                                    done[z] = more
+                                    if z in g.depth:
+                                        seen[label, more] += 1
+                else:
+                    seen.update(tuple(p) for x in near for y, p in g.within(x, radius).items() if y in g.depth)
+            yield pd.DataFrame([(list(k), n) for k, n in seen.items()], columns=["labels", "n"])
+
+    counts = sentences.select("edges").mapInPandas(run, "labels array<string>, n long")
+    return counts.groupBy("labels").agg(F.sum("n").alias("n"))
+
+
+def _steps(g, x: int) -> list[tuple[int, str]]:
+    return sorted([(y, label) for label, y in g.out.get(x, ()) if y] + [(y, label + "^") for label, y in g.into.get(x, ()) if y])
+
+
 def with_sentences(rows: DataFrame, sentences: DataFrame) -> DataFrame:
     """Rows (doc_id, sent_id, ...) with the tokens and edges of their sentence."""
     return rows.join(sentences.select("doc_id", "sent_id", "tokens", "edges"), ["doc_id", "sent_id"])

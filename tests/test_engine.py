@@ -341,3 +341,9 @@ def test_rebalancing_does_not_turn_the_classes_round(spark):
     assert n[False] == 1800 and abs(n[True] - 1800) < 100
     n = {r.label: r["count"] for r in filtering.rebalance(rows, "label", 2.0).groupBy("label").count().collect()}
     assert n == {False: 1800, True: 1200}
+
+
+def test_counted_paths_equal_paths(spark, sentences):
+    for radius in (1, 2, 3):
+        want = {tuple(r.labels): r["count"] for r in graphs.paths(sentences, radius).groupBy("labels").count().collect()}
+        assert {tuple(r.labels): r.n for r in graphs.path_counts(sentences, radius).collect()} == want
