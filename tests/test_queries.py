@@ -66,7 +66,7 @@ def test_folds_are_stable(spark):
     assert a == [r[0] for r in spark.range(100).select(filtering.folds("id", 5)).collect()] and set(a) == set(range(5))
 
 
-@pytest.mark.parametrize("name", ["e_heads", "e_expanded_spans", "e_baseline_lexicon", "e_baseline_combined", "e_features", "e_lemma_skipgrams", "e_relations", "e_printed", "e_incoming_labels", "e_argument_lemmas", "e_surface_patterns", "e_tree_patterns"])
+@pytest.mark.parametrize("name", ["e_heads", "e_expanded_spans", "e_baseline_lexicon", "e_baseline_combined", "e_features", "e_lemma_skipgrams", "e_relations", "e_printed", "e_incoming_labels", "e_argument_lemmas", "e_surface_patterns", "e_tree_patterns", "e_standoff_lines"])
 def test_sentences_are_neither_stored_nor_joined(spark, name):
     plan = catalog.QUERIES[name](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" not in plan and not re.search(r"Join .*\n(.*\n)*.*MapInArrow", plan)  # no checkpoint, and no join above a parse
