@@ -72,11 +72,19 @@ def printed() -> Column:
     return F.format_string("%s(%s, cause=%s, effect=%s)", type_name(), text_of("connective"), text_of("cause"), text_of("effect"))
 
 
-def highlighted() -> Column:
-    """The sentence with the connective in capitals and arguments marked ``/`` (cause) and ``*`` (effect)."""
-    within = lambda c, t: F.coalesce(F.array_contains(c, t["idx"]), F.lit(False))
-    show = lambda t: F.concat(F.when(within("cause", t), "/").when(within("effect", t), "*").otherwise(""), F.when(within("connective", t), F.upper(t["text"])).otherwise(t["text"]), F.when(within("cause", t), "/").when(within("effect", t), "*").otherwise(""))
-    return F.array_join(F.transform(F.filter("tokens", lambda t: t["idx"] > 0), show), " ")
+def highlighted(of: Column | None = None, texts: Column | None = None) -> Column:
+    """The sentence with the connective in capitals and arguments marked ``/`` (cause) and ``*`` (effect).
+
+    of: the instance, where it is a struct in its sentence's row; texts: those of ``tokens``, which lie at their indices. Only words from the first marked one to the last are looked at one by one.
+    """
+    texts = F.transform("tokens", lambda t: t["text"]) if texts is None else texts
+    span = lambda c: F.coalesce(F.col(c) if of is None else of[c], F.array().cast("array<int>"))
+    marked = F.filter(F.concat(*map(span, ("connective", "cause", "effect"))), lambda i: (i > 0) & (i < F.size(texts)))
+    lo, hi = F.coalesce(F.array_min(marked), F.lit(1)), F.coalesce(F.array_max(marked), F.lit(0))
+    within = lambda c, i: F.array_contains(span(c), i)
+    sign = lambda i: F.when(within("cause", i), "/").when(within("effect", i), "*").otherwise("")
+    shown = lambda t, k: F.concat(sign(lo + k), F.when(within("connective", lo + k), F.upper(t)).otherwise(t), sign(lo + k))
+    return F.array_join(F.concat(F.slice(texts, F.lit(2), lo - 1), F.transform(F.slice(texts, lo + 1, hi - lo + 1), shown), F.slice(texts, hi + 2, F.size(texts))), " ")
 
 
 def category() -> Column:

@@ -78,13 +78,18 @@ def _beside_generated(node):
     return own + [x for i in range(node.children().size()) for x in _beside_generated(node.children().apply(i))]
 
 
-@pytest.mark.parametrize("name", ["e_argument_lemmas", "e_baseline_combined", "e_baseline_lexicon", "e_relations"])
+@pytest.mark.parametrize("name", ["e_argument_lemmas", "e_baseline_combined", "e_baseline_lexicon", "e_relations", "e_printed"])
 def test_candidates_leave_their_sentence_behind(spark, monkeypatch, name):
     monkeypatch.setattr(engine_queries, "staged", lambda df: df)
     found = _beside_generated(catalog.QUERIES[name](spark, TABLES)._jdf.queryExecution().sparkPlan())
     assert found and not {"tokens", "edges", "depths", "texts"} & set.union(*found)  # else a sentence is copied for each of its candidates
 
 
+def test_relations_are_marked_once(spark):
+    plan = catalog.QUERIES["e_printed"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "upper" in line for line in plan.splitlines())  # nor to see whether a sentence has rows
+
+
 def test_pairs_leave_other_sentences_out_of_python(spark):
     plan = catalog.QUERIES["e_baseline_pairs"](spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_except" in plan
